@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.exprs import let, lower_ascii, words_between
+from tessella.llm.exprs import let, literal_array, lower_ascii, words_between
 
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 WINDOW = 10
@@ -54,9 +54,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] =
         windows = F.broadcast(windows)
     lengths = facts["lengths"]
     bits = benchmark_windows(benchmark, item).groupBy(_slot(F.col("lead")).alias("slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("lead").bitwiseAND(63).cast("int"))).alias("bits"))
-    pairs = bits.agg(F.map_from_entries(F.collect_list(F.struct("slot", "bits"))).alias("m"))
-    bitmap = pairs.select(F.transform(F.sequence(F.lit(0), F.lit(BITMAP - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("bitmap"))
-    bitmap = F.lit(bitmap.first()["bitmap"] if facts["n"] else [0]).cast("array<long>")
+    every = docs.sparkSession.range(BITMAP).select(F.col("id").cast("int").alias("slot")).join(bits, "slot", "left").fillna(0)
+    bitmap = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "bits"))), lambda s: s["bits"]).alias("bitmap"))
+    bitmap = literal_array(bitmap.first()["bitmap"] if facts["n"] else [0], "long")
 
     def known(lead: Column) -> Column:
         return F.getbit(F.get(bitmap, _slot(lead)), lead.bitwiseAND(63).cast("int")) == 1

@@ -29,5 +29,10 @@ def words_between(text: Column, separators: str) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), separators), "")
 
 
+def literal_array(values: list, element: str) -> Column:
+    """A bounded list as a constant array, which the optimizer folds to one literal."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{element}>")
+
+
 #: White space of the rules, SimHash and the classifiers: space and the five controls from tab on.
 BLANKS = "[\\x20\\x09-\\x0D]+"

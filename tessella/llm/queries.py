@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, decontam
+from tessella.llm import bpe, decontam, quality_rules
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -33,6 +33,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.withColumn("contaminated", F.col("n_hit") > 0)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules.rules(docs, trusted).select("doc_id", "quality.*")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_digest(docs, tokenizer_path()).select("doc_id", "encoded.*")
@@ -46,6 +52,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
+    "op3_quality_rules": op3_quality_rules,
     "op6_bpe": op6_bpe,
     "op10_token_counts": op10_token_counts,
 }

@@ -1,6 +1,6 @@
 """The queries ``opN_<name>``: each applies its operator to whole tables and returns the whole result.
 
-``TOKENIZER`` names the vocabulary file; its place is asked of the installed package.
+``TOKENIZER`` and ``PIECES`` name vocabulary files; their place is asked of the installed package.
 """
 
 from __future__ import annotations
@@ -10,9 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, decontam, quality_rules, simhash
+from tessella.llm import bpe, chat, decontam, langid, quality_rules, simhash
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -26,6 +27,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = chat_rows(spark, sf_dir)
+    return chat.read_back(chat.format_turns(both))
+
+
+def chat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts hold control strings."""
+    text = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
@@ -49,6 +62,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(docs, tokenizer_path()).select("doc_id", "encoded.*")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = langid.train(docs.where(~held_out), tokenizer_path(PIECES))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "language.*")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = bpe.count_tokens(docs, tokenizer_path())
@@ -56,10 +77,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
     "op2_decontamination": op2_decontamination,
     "op3_quality_rules": op3_quality_rules,
     "op4_simhash": op4_simhash,
     "op6_bpe": op6_bpe,
+    "op7_language": op7_language,
     "op10_token_counts": op10_token_counts,
 }
 

@@ -229,10 +229,10 @@ class _Block:
         totals = np.concatenate([[0], np.cumsum(self.pre_counts[flat])])
         at = np.cumsum(sizes)
         self.word_counts = np.concatenate([self.word_counts, totals[at] - totals[at - sizes]])
-        self.keep(parts, ids, ends)
+        self.keep(parts, flat, ids, ends)
 
-    def keep(self, parts: list[list[int]], ids: np.ndarray, ends: np.ndarray) -> None:
-        """Take what is needed of new words (``parts``) and new pre-tokens (``ids`` up to ``ends``)."""
+    def keep(self, parts: list[list[int]], flat: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> None:
+        """Take what is needed of new words (``parts``, and one after the other ``flat``) and new pre-tokens (``ids`` up to ``ends``)."""
 
     def done(self) -> None:
         self.docs = []
@@ -240,20 +240,35 @@ class _Block:
             self._clear()
 
 
+def gather(codes: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` (run c has counts[c] items) that ``codes`` name, one after the other."""
+    n = counts[codes]
+    ends = np.cumsum(n)
+    starts = np.cumsum(counts) - counts
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[codes] - (ends - n), n)]
+
+
 class _Encode(_Block):
     def _clear(self) -> None:
         super()._clear()
-        self.pre_ids: list[np.ndarray] = []
-        self.word_ids: list[np.ndarray] = []
+        self.pre_ids, self.word_ids = np.zeros(0, np.int32), np.zeros(0, np.int32)
 
-    def keep(self, parts, ids, ends):
-        self.pre_ids += np.split(ids.astype(np.int32), ends[:-1]) if len(ends) else []
-        self.word_ids += [self.pre_ids[own[0]] if len(own) == 1 else np.concatenate([self.pre_ids[c] for c in own]) for own in parts]
+    def keep(self, parts, flat, ids, ends):
+        self.pre_ids = np.concatenate([self.pre_ids, ids.astype(np.int32)])
+        self.word_ids = np.concatenate([self.word_ids, gather(flat, self.pre_counts, self.pre_ids)])
 
-    def flush(self) -> pd.DataFrame:
+    def encoded(self) -> list[np.ndarray]:
+        """The ids of each document added since the last call."""
         self.resolve()
-        ids = [np.concatenate([self.word_ids[c] for c in doc.tolist()]) if len(doc) else np.zeros(0, np.int32) for doc in self.docs]
+        codes = np.concatenate([*self.docs, np.zeros(0, np.int32)])
+        ends = np.cumsum(np.concatenate([[0], self.word_counts[codes]]))
+        cuts = ends[np.cumsum([len(d) for d in self.docs])] if self.docs else []
+        ids = np.split(gather(codes, self.word_counts, self.word_ids), cuts[:-1]) if self.docs else []
         self.done()
+        return ids
+
+    def flush(self) -> pd.DataFrame:
+        ids = self.encoded()
         return pd.DataFrame({"n_tokens": [len(x) for x in ids], "ids": ids})
 
 
@@ -265,10 +280,10 @@ class _Digest(_Block):
         self.pre_texts: tuple[list[str], list[str]] = ([], [])
         self.word_texts: tuple[list[str], list[str]] = ([], [])
 
-    def keep(self, parts, ids, ends):
-        flat, cuts = ids.tolist(), ends.tolist()
+    def keep(self, parts, flat, ids, ends):
+        own_ids, cuts = ids.tolist(), ends.tolist()
         for pre, word, spelled in zip(self.pre_texts, self.word_texts, self.vocab.spelled):
-            texts = list(map(spelled.__getitem__, flat))
+            texts = list(map(spelled.__getitem__, own_ids))
             pre += [" ".join(texts[a:b]) for a, b in zip([0, *cuts], cuts)]
             word += [pre[own[0]] if len(own) == 1 else " ".join([pre[c] for c in own]) for own in parts]
 

@@ -10,9 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, chat, decontam, langid, quality_rules, simhash, toxicity
+from tessella.llm import bpe, chat, decontam, langid, materialise, quality_rules, simhash, toxicity, weaklabels
 
 TOKENIZER = "word_bpe_49k.json"
+#: Its id of <|endoftext|>, which fills sequences up.
+END_OF_TEXT = 49407
 PIECES = "piece_bpe_32k.model"
 
 
@@ -78,6 +80,17 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "language.*")
 
 
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return materialise.training_order(docs, tokenizer_path(), pad=END_OF_TEXT, key=20)
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    _, scorer = weaklabels.train(docs)
+    return weaklabels.classify(docs, scorer, out="score").withColumn("kept", F.col("score") >= weaklabels.THRESHOLD).drop("text")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = bpe.count_tokens(docs, tokenizer_path())
@@ -92,6 +105,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_bpe": op6_bpe,
     "op7_language": op7_language,
+    "op8_training_order": op8_training_order,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_token_counts": op10_token_counts,
 }
 

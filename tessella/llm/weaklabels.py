@@ -39,8 +39,11 @@ LABELLERS = {
     "bangs": (0.15, 0.03),
     "odd_words": (0.40, 0.12),
     "repeats": (0.40, 0.15),
-    "same_lines": (0.30, 0.10),
+    "stutters": (0.25, 0.05),
+    "same_lines": (0.50, 0.20),
 }
+#: Of fewer lines none says anything.
+LEAST_LINES, UNSEEN = 4, 0.3
 
 
 def split(text: str) -> list[str]:
@@ -62,12 +65,13 @@ def marks(word: str) -> tuple[bool, bool, bool, bool, bool]:
     return (SYMBOL.search(word) is not None, word == "|", len(word) > 2 and word.isupper(), "!" in word, not LETTERS.match(word))
 
 
-def repeats(text: str, words: list[str]) -> tuple[float, float]:
-    """Shares of 3-word windows, and of lines, that are equal to an earlier one."""
+def repeats(text: str, words: list[str]) -> tuple[float, float, float]:
+    """Shares of 3-word windows equal to an earlier one, of words equal to the one before, of lines equal to an earlier one."""
     windows = len(words) - 2
     again = 1 - len(set(zip(words, words[1:], words[2:]))) / windows if windows > 0 else 0.0
+    stutters = sum(map(str.__eq__, words, words[1:])) / max(1, len(words))
     lines = [x for x in text.split("\n") if x.strip()]
-    return again, 1 - len(set(lines)) / len(lines) if lines else 0.0
+    return again, stutters, 1 - len(set(lines)) / len(lines) if len(lines) >= LEAST_LINES else UNSEEN
 
 
 class _Block:
@@ -125,8 +129,13 @@ class _Terms(_Block):
         return pd.DataFrame(rows, columns=["terms", "values"])
 
 
+#: Bad texts are of two kinds, and labellers of one kind see nothing wrong with the other.
+KINDS = {"marked": ("symbols", "pipes", "shouts", "bangs", "odd_words"), "repeated": ("repeats", "stutters")}
+
+
 class LabelModel:
-    """Vote probabilities of each labeller on bad and good texts, and each pattern's posterior.
+    """Vote probabilities of each labeller on good texts and each kind of bad ones (in this order of
+    classes), and each pattern's posterior of being good.
 
     patterns: counts by pattern, over all documents.
     """
@@ -135,23 +144,24 @@ class LabelModel:
         self.patterns = sorted(patterns)
         n = np.array([patterns[p] for p in self.patterns], float)
         vote = np.array([list(map(int, p)) for p in self.patterns], int).reshape(-1, len(LABELLERS))
-        bad, good = (vote == 0).sum(1), (vote == 1).sum(1)
-        good_p = np.where(bad > 0, 0.1, np.where(good > 0, 0.95, 0.5)).astype(float)
-        self.good = 0.5
+        kind = [(vote[:, [k for k, name in enumerate(LABELLERS) if name in own]] == 0).any(1) for own in KINDS.values()]
+        start = np.where(kind[0], 1, np.where(kind[1], 2, 0))
+        held = np.where(start == np.arange(3)[:, None], 0.9, 0.05)  # of each class, by pattern
+        at = np.arange(len(LABELLERS))
         for _ in range(ROUNDS if len(n) else 0):
-            weight = np.stack([n * (1 - good_p), n * good_p])  # bad, good
-            self.good = (weight[1].sum() + 1) / (weight.sum() + 2)
-            self.table = np.stack([[[(w[vote[:, k] == v].sum() + 1) / (w.sum() + 3) for v in range(3)] for k in range(len(LABELLERS))] for w in weight])
-            log = np.stack([np.log(self.table[c][np.arange(len(LABELLERS)), vote]).sum(1) for c in range(2)])
-            odds = log[1] - log[0] + np.log(self.good / (1 - self.good))
-            good_p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        self.posterior = dict(zip(self.patterns, good_p.tolist()))
+            weight = n * held
+            self.share = (weight.sum(1) + 1) / (weight.sum() + 3)
+            self.table = np.stack([[[(w[vote[:, k] == v].sum() + 1) / (w.sum() + 3) for v in range(3)] for k in at] for w in weight])
+            log = np.stack([np.log(t[at, vote]).sum(1) for t in self.table]) + np.log(self.share)[:, None]
+            held = np.exp(log - log.max(0))
+            held /= held.sum(0)
+        self.posterior = dict(zip(self.patterns, held[0].tolist()))
 
     def accuracies(self) -> dict[str, float]:
         """How often each labeller is right where it votes."""
-        right = (1 - self.good) * self.table[0, :, 0] + self.good * self.table[1, :, 1]
-        wrong = (1 - self.good) * self.table[0, :, 1] + self.good * self.table[1, :, 0]
-        return dict(zip(LABELLERS, (right / (right + wrong)).tolist()))
+        good, bad = self.share[0] * self.table[0], (self.share[1:, None, None] * self.table[1:]).sum(0)
+        right = good[:, 1] + bad[:, 0]
+        return dict(zip(LABELLERS, (right / (right + good[:, 0] + bad[:, 1])).tolist()))
 
 
 class Scorer:

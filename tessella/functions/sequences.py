@@ -10,7 +10,7 @@ from tessella.functions.stats import entropy
 
 def kmers(seq: Column, k: int) -> Column:
     """All k-mers in upper case, letters beyond ACGT read as A, in order of the sequence."""
-    clean = F.regexp_replace(F.upper(seq), "[^ACGT]", "A")
+    clean = F.upper(F.regexp_replace(seq, "[^ACGTacgt]", "A"))
     n = F.length(clean) - k + 1
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(clean, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 

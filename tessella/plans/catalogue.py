@@ -278,7 +278,7 @@ def _sequences(spark, sf_dir) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT item_id, regexp_replace(upper(text), '[^ACGT]', 'A', 'g') AS q FROM benchmark), k AS (SELECT item_id, q[i : i + 5] AS w FROM s, unnest(range(1, length(q) - 4)) AS r(i)),
+WITH s AS (SELECT item_id, upper(regexp_replace(text, '[^ACGTacgt]', 'A', 'g')) AS q FROM benchmark), k AS (SELECT item_id, q[i : i + 5] AS w FROM s, unnest(range(1, length(q) - 4)) AS r(i)),
 c AS (SELECT item_id, w, count(*) AS n FROM k GROUP BY ALL), t AS (SELECT item_id, n, sum(n) OVER (PARTITION BY item_id) AS total FROM c)
 SELECT item_id, round(-sum(n / total * ln(n / total)), 6) AS entropy FROM t GROUP BY item_id""")
 def kmer_entropy(spark, sf_dir):

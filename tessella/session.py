@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 import warnings
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 @dataclass(frozen=True)
@@ -64,3 +65,15 @@ def session(name: str = "tessella", **conf: str) -> SparkSession:
     for key, value in (defaults | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Write a result that several later steps read to the shared checkpoint folder, and cut its plan.
+
+    The folder is spark.checkpoint.dir; where that is unset, as in tests, one in the warehouse.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints-{uuid.uuid4().hex}")
+    return df.checkpoint()

@@ -33,9 +33,9 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
 
     ref = none(f[2])
     return lines.select(
-        f[0].alias("name"), f[1].cast("int").alias("flag"), ref.alias("ref"), f[3].cast("long").alias("left"), f[4].cast("int").alias("mapq"), f[5].alias("cigar"),
-        F.when(f[6] == "=", ref).otherwise(none(f[6])).alias("mate_ref"), f[7].cast("long").alias("mate_left"), none(f[9]).alias("seq"),
-        tag("XS", "A").alias("xs"), tag("NM", "i").cast("int").alias("nm"), tag("NH", "i").cast("int").alias("nh"),
+        f[0].alias("name"), f[1].try_cast("int").alias("flag"), ref.alias("ref"), f[3].try_cast("long").alias("left"), f[4].try_cast("int").alias("mapq"), f[5].alias("cigar"),
+        F.when(f[6] == "=", ref).otherwise(none(f[6])).alias("mate_ref"), f[7].try_cast("long").alias("mate_left"), none(f[9]).alias("seq"),
+        tag("XS", "A").alias("xs"), tag("NM", "i").try_cast("int").alias("nm"), tag("NH", "i").try_cast("int").alias("nh"),
     )
 
 

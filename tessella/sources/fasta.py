@@ -22,7 +22,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 def build_index(spark: SparkSession, path: str) -> DataFrame:
     """The index of a file with one line length in each record (ASCII, line feeds)."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     parts = whole.select(F.posexplode(F.split("value", "(?m)^>")).alias("k", "part")).where("part <> ''")
     from pyspark.sql import Window
 

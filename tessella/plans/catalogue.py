@@ -332,6 +332,67 @@ def string_functions(spark, sf_dir):
     return c.select("c_custkey", F.element_at(strings.split_any(F.col("c_name"), "#"), -1).alias("tail"), F.lower("c_mktsegment").alias("low"), F.reverse("c_name").alias("back"), strings.ends_with(F.col("c_name"), "7").alias("seven"), strings.with_precision(F.col("c_acctbal"), 2).alias("balance"))
 
 
+@query("""
+, t AS (SELECT locus, transcript, min("left") AS l FROM exons GROUP BY ALL)
+SELECT locus, transcript, dense_rank() OVER (ORDER BY locus) AS gene, row_number() OVER (PARTITION BY locus ORDER BY l, transcript) AS isoform FROM t""", EXONS)
+def isoform_numbering(spark, sf_dir):
+    """Genes are numbered over their distinct loci, one row each, and joined back."""
+    t = exons(spark, sf_dir).groupBy("locus", "transcript").agg(F.min("left").alias("l"))
+    genes = t.select("locus").distinct().select("locus", F.row_number().over(Window.orderBy("locus")).cast("long").alias("gene"))
+    isoform = F.row_number().over(Window.partitionBy("locus").orderBy("l", "transcript")).cast("long")
+    return t.withColumn("isoform", isoform).join(genes, "locus").select("locus", "transcript", "gene", "isoform")
+
+
+@query("""
+, loci AS (SELECT ref, id AS locus, "left", "right" + 300 AS "right" FROM reads WHERE len > 200)
+SELECT r.id, coalesce(l.locus, -1) AS locus FROM reads r LEFT JOIN loci l ON r.ref = l.ref AND r."left" <= l."right" AND l."left" <= r."right" WHERE r.len <= 200""", READS)
+def read_to_reference_locus(spark, sf_dir):
+    """Reads with the loci that they touch; reads that touch none stay, for de novo clusters."""
+    r = reads(spark, sf_dir)
+    loci = r.where("len > 200").select("ref", F.col("id").alias("locus"), "left", (F.col("right") + 300).alias("right"))
+    return joins.interval_left_join(r.where("len <= 200").select("ref", "id", "left", "right"), loci, ["ref"], "id").select("id", F.coalesce("b_locus", F.lit(-1)).alias("locus"))
+
+
+@query(JUNCTIONS + """, z AS (SELECT *, (n_small - 0.5 - n_reads * 0.2) / sqrt(n_reads * 0.16) AS z FROM n), t AS (SELECT *, abs(z) / sqrt(2.0) AS a, 1 / (1 + 0.3275911 * abs(z) / sqrt(2.0)) AS t FROM z)
+SELECT locus, "left", "right", round(1 - 0.5 * (1 + CASE WHEN z < 0 THEN -1 ELSE 1 END * (1 - ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-a * a))), 6) AS p FROM t""", EXONS)
+def anchor_binomial(spark, sf_dir):
+    chance = introns.anchors_by_chance(F.col("n_reads"), F.col("n_small"), 10, 100)
+    return _junctions(spark, sf_dir).select("locus", "left", "right", F.round(chance, 6).alias("p"))
+
+
+@query(EVENTS.format(having=" HAVING sum(d) <> 0").replace('SELECT locus, "left", "right", depth::BIGINT AS depth FROM w WHERE depth > 0 AND "right" IS NOT NULL', "")
++ """, v AS (SELECT * FROM w WHERE depth > 0 AND "right" IS NOT NULL), i AS (SELECT locus, "right" + 1 AS "left", lead("left") OVER (PARTITION BY locus, transcript ORDER BY "left", "right") - 1 AS "right" FROM exons),
+j AS (SELECT DISTINCT * FROM i WHERE "right" >= "left")
+SELECT j.locus, j."left", j."right", sum(v.depth * (least(v."right", j."right") - greatest(v."left", j."left") + 1))::BIGINT AS bases FROM j JOIN v ON v.locus = j.locus AND v."left" <= j."right" AND j."left" <= v."right" GROUP BY ALL""", EXONS)
+def intron_depth(spark, sf_dir):
+    """Exonic bases inside each junction, from coverage runs."""
+    e = exons(spark, sf_dir)
+    inside = ranges.introns(e, ["locus", "transcript"]).drop("transcript").distinct()
+    pairs = joins.interval_join(inside, ranges.coverage(e, ["locus"]), ["locus"])
+    shared = intervals.overlap_length(*(F.col(c) for c in ("left", "right", "b_left", "b_right")))
+    return pairs.groupBy("locus", "left", "right").agg(F.sum(shared * F.col("b_depth")).cast("long").alias("bases"))
+
+
+@query("""
+, n AS (SELECT *, row_number() OVER (PARTITION BY name, strand ORDER BY "left", id) AS k FROM reads)
+SELECT id, k = 1 AS first FROM n""", READS)
+def unique_spill(spark, sf_dir):
+    """Each group's first row, and the rest as its duplicates."""
+    k = F.row_number().over(Window.partitionBy("name", "strand").orderBy("left", "id"))
+    return reads(spark, sf_dir).select("id", (k == 1).alias("first"))
+
+
+@query(BLOCKS + """, p AS (SELECT b.locus, b."left" AS spot, x."left", x."right" FROM b JOIN exons x ON b.locus = x.locus AND x."left" <= b."right" AND b."left" <= x."right"),
+k AS (SELECT locus, spot, string_agg('[' || "left" || '-' || "right" || ']', '' ORDER BY "left", "right") AS path_symbol FROM (SELECT DISTINCT * FROM p) GROUP BY locus, spot)
+SELECT 'g' || locus AS gene_id, path_symbol, count(*) AS path_count, sum(count(*)) OVER (PARTITION BY locus)::BIGINT AS gene_frag_count FROM k GROUP BY locus, path_symbol""", EXONS)
+def fragment_context(spark, sf_dir):
+    """Counts of fragments by the path of segments that they touch, with the gene's total."""
+    from tessella.sources.context import paths
+
+    pairs = joins.interval_join(_blocks(spark, sf_dir), exons(spark, sf_dir), ["locus"], bin_width=100)
+    return paths(pairs.select(F.concat(F.lit("g"), "locus").alias("gene_id"), F.col("left").alias("fragment"), F.col("b_left").alias("left"), F.col("b_right").alias("right")))
+
+
 @query()
 def bin_effective_length(spark, sf_dir):
     """Weights of each transcript's first bins: pairs of neighbouring exons, by an enumerated effective length."""

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Characters of text that a block holds before its distinct words are worked on together.
 BLOCK_CHARS = 24_000_000
+#: The same for operators that gain little from large blocks.
+SMALL_BLOCK = 4_000_000
 #: Bounds of one Arrow batch sent to a Python worker.
 BATCH_ROWS, BATCH_BYTES = 4096, 8 << 20
 

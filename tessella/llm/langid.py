@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.blocks import bound_batches, block_udf
+from tessella.llm.blocks import SMALL_BLOCK, block_udf, bound_batches
 
 #: Texts of a language that are learned from (about so many, by hash), and their greatest length.
 SAMPLE_TEXTS, SAMPLE_CHARS = 300, 8000
@@ -29,7 +29,7 @@ MAX_RUN = 24
 #: Probability of a character that no piece covers, and weight of a piece that was never expected.
 UNKNOWN, FLOOR = 1e-7, 0.05
 START = "▁"
-TABLE_WORDS, PART_WORDS = 400_000, 40_000
+TABLE_WORDS, PART_WORDS = 150_000, 20_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 RUN = re.compile(r"[^\W\d_]+")
@@ -228,4 +228,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text", out: str = "lang
     spark = docs.sparkSession
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    return docs.withColumn(out, block_udf(lambda: _Predict(shared.value), "lang_pred string, score double")(F.col(f"`{text}`")))
+    return docs.withColumn(out, block_udf(lambda: _Predict(shared.value), "lang_pred string, score double", SMALL_BLOCK)(F.col(f"`{text}`")))

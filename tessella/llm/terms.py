@@ -13,41 +13,47 @@ class Terms:
     """Distinct words of a block of documents, and each word's hashed terms.
 
     ``spell(word)`` gives a word's terms as strings; a term's number is its 31-bit hash.
-    With ``known`` (sorted hashes), terms that aren't in it are left out.
+    With ``known`` (sorted hashes), terms that aren't in it are left out.  The table of words is
+    emptied between blocks once it holds ``most``, so its memory is bounded.
     """
 
-    def __init__(self, split: Callable[[str], list[str]], spell: Callable[[str], list[str]], known: np.ndarray | None = None, most: int = 400_000):
+    def __init__(self, split: Callable[[str], list[str]], spell: Callable[[str], list[str]], known: np.ndarray | None = None, most: int = 150_000):
         self.split, self.spell, self.known, self.most = split, spell, known, most
         self._clear()
 
     def _clear(self) -> None:
         self.words: defaultdict[str, int] = defaultdict()
         self.words.default_factory = self.words.__len__
-        self.of: list[np.ndarray] = []
+        # The words' terms, one word after the other, and where each word's start.
+        self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def codes(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the text's distinct words in ascending order, and how often each occurs."""
         words = self.split(text)
-        return np.unique(np.fromiter(map(self.words.__getitem__, words), np.int32, len(words)), return_counts=True)
+        codes, freq = np.unique(np.fromiter(map(self.words.__getitem__, words), np.int32, len(words)), return_counts=True)
+        return codes, freq.astype(np.int32)
 
     def resolve(self) -> None:
-        for word in list(self.words)[len(self.of) :]:
-            h = np.array([xxhash.xxh32_intdigest(t) & 0x7FFFFFFF for t in self.spell(word)], np.int32)
-            if self.known is not None:
-                at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1) if len(self.known) else h[:0]
-                h = at[self.known[at] == h[: len(at)]].astype(np.int32)
-            self.of.append(h)
+        hashed = [[xxhash.xxh32_intdigest(t) & 0x7FFFFFFF for t in self.spell(word)] for word in list(self.words)[len(self.sizes) :]]
+        h = np.fromiter((x for own in hashed for x in own), np.int32)
+        owner = np.repeat(np.arange(len(hashed)), [len(own) for own in hashed])
+        if self.known is not None:
+            at = np.minimum(np.searchsorted(self.known, h), max(0, len(self.known) - 1)).astype(np.int32)
+            found = self.known[at] == h if len(self.known) else np.zeros(len(h), bool)
+            h, owner = at[found], owner[found]
+        sizes = np.bincount(owner, minlength=len(hashed))
+        self.starts = np.concatenate([self.starts, np.cumsum(sizes) - sizes + len(self.flat)])
+        self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, h])
 
     def counts(self, codes: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A document's terms (hashes, or places in ``known``) and how often each occurs."""
-        lists = [self.of[c] for c in codes.tolist()]
-        if not lists:
+        n = self.sizes[codes]
+        total = int(n.sum())
+        if not total:
             return np.zeros(0, np.int32), np.zeros(0)
-        sizes = [len(x) for x in lists]
-        if not sum(sizes):
-            return np.zeros(0, np.int32), np.zeros(0)
-        terms, place = np.unique(np.concatenate(lists), return_inverse=True)
-        return terms, np.bincount(place, np.repeat(freq, sizes))
+        own = self.flat[np.arange(total) + np.repeat(self.starts[codes] - (np.cumsum(n) - n), n)]
+        terms, place = np.unique(own, return_inverse=True)
+        return terms, np.bincount(place, np.repeat(freq, n))
 
     def done(self) -> None:
         if len(self.words) > self.most:

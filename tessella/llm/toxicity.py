@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.blocks import bound_batches, block_udf
+from tessella.llm.blocks import SMALL_BLOCK, block_udf, bound_batches
 from tessella.llm.terms import Terms
 
 #: Labelled texts that are learned from at most (by hash), of labels 0 and 1, and their greatest length.
@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     sample = first[0].unionByName(first[1])
     sample = docs.sparkSession.createDataFrame(sample.collect(), keys.schema)
     texts = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).where(f"char_length(t) between 1 and {SAMPLE_CHARS}").join(F.broadcast(sample), "k")
-    rows = texts.select("k", "y", block_udf(_Features, "terms array<int>")(F.col("t")).alias("f")).select("k", "y", "f.terms").limit(2 * sum(SAMPLE_TEXTS)).toArrow().to_pandas()
+    rows = texts.select("k", "y", block_udf(_Features, "terms array<int>", SMALL_BLOCK)(F.col("t")).alias("f")).select("k", "y", "f.terms").limit(2 * sum(SAMPLE_TEXTS)).toArrow().to_pandas()
     rows = rows.assign(n=rows["terms"].map(len)).sort_values(["k", "n"], kind="stable")
     return Machine(rows["terms"].tolist(), rows["y"].to_numpy(int))
 
@@ -172,5 +172,5 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", out: str = "tox
     spark = docs.sparkSession
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(machine)
-    scored = docs.withColumn(out, block_udf(lambda: _Score(shared.value), "score double")(F.col(f"`{text}`")))
+    scored = docs.withColumn(out, block_udf(lambda: _Score(shared.value), "score double", SMALL_BLOCK)(F.col(f"`{text}`")))
     return scored.withColumn(out, F.col(f"`{out}`.score"))

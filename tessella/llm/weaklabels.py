@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.blocks import bound_batches, block_udf
+from tessella.llm.blocks import SMALL_BLOCK, block_udf, bound_batches
 from tessella.llm.terms import Terms
 
 #: Texts that the scorer is fitted to, by hash, half of them likely bad where there are so many.
@@ -227,7 +227,7 @@ def train(docs: DataFrame, text: str = "text") -> tuple[LabelModel, Scorer]:
     """
     bound_batches(docs.sparkSession)
     t = F.col(f"`{text}`")
-    voted = docs.select(t.alias("t"), block_udf(_Votes, "pattern string")(t).alias("v")).select("t", "v.pattern", F.xxhash64("t").alias("h"))
+    voted = docs.select(t.alias("t"), block_udf(_Votes, "pattern string", SMALL_BLOCK)(t).alias("v")).select("t", "v.pattern", F.xxhash64("t").alias("h"))
     counts = voted.groupBy("pattern").agg(F.count("*").alias("n"), F.count_if(F.char_length("t").between(1, SAMPLE_CHARS)).alias("fit")).collect()  # at most 3 ** labellers rows
     model = LabelModel({r["pattern"]: r["n"] for r in counts})
     share = {}
@@ -239,10 +239,10 @@ def train(docs: DataFrame, text: str = "text") -> tuple[LabelModel, Scorer]:
     # The hash decides before the votes are cast again: only texts below the largest share are looked at.
     place = F.shiftrightunsigned(F.xxhash64("t"), 11) / F.lit(float(1 << 53))
     few = docs.select(t.alias("t")).where(F.char_length("t").between(1, SAMPLE_CHARS) & (place < max(share.values())))
-    again = few.select("t", block_udf(_Votes, "pattern string")(F.col("t")).alias("v")).select("t", "v.pattern")
+    again = few.select("t", block_udf(_Votes, "pattern string", SMALL_BLOCK)(F.col("t")).alias("v")).select("t", "v.pattern")
     shares = F.create_map(*(x for p, s in share.items() for x in (F.lit(p), F.lit(s))))
     sample = again.where(place < shares[F.col("pattern")]).limit(2 * SAMPLE_TEXTS)
-    rows = sample.select("pattern", F.xxhash64("t").alias("h"), block_udf(_Terms, "terms array<int>, values array<float>")(F.col("t")).alias("f")).select("pattern", "h", "f.*").toArrow().to_pandas().sort_values("h", kind="stable")
+    rows = sample.select("pattern", F.xxhash64("t").alias("h"), block_udf(_Terms, "terms array<int>, values array<float>", SMALL_BLOCK)(F.col("t")).alias("f")).select("pattern", "h", "f.*").toArrow().to_pandas().sort_values("h", kind="stable")
     return model, Scorer(rows["terms"].tolist(), rows["values"].tolist(), rows["pattern"].map(model.posterior).to_numpy(float))
 
 
@@ -254,5 +254,5 @@ def classify(docs: DataFrame, scorer: Scorer, text: str = "text", out: str = "qu
     spark = docs.sparkSession
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(scorer)
-    scored = docs.withColumn(out, block_udf(lambda: _Score(shared.value), "score double")(F.col(f"`{text}`")))
+    scored = docs.withColumn(out, block_udf(lambda: _Score(shared.value), "score double", SMALL_BLOCK)(F.col(f"`{text}`")))
     return scored.withColumn(out, F.col(f"`{out}`.score"))

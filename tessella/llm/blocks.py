@@ -7,15 +7,17 @@ repeated rows and null keys need no care, and a retried task gives the same rows
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that a block holds before its distinct words are worked on together.
 BLOCK_CHARS = 24_000_000
-#: The same for operators that gain little from large blocks.
+#: The same for operators that gain little from large blocks, or whose results are as long as the texts.
 SMALL_BLOCK = 4_000_000
 #: Bounds of one Arrow batch sent to a Python worker.
 BATCH_ROWS, BATCH_BYTES = 4096, 8 << 20
@@ -27,6 +29,15 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers stay between tasks, and their idle memory adds up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def block_udf(make: Callable[[], object], schema: str, block_chars: int = BLOCK_CHARS) -> Callable[[Column], Column]:
     """A pandas UDF text -> struct(schema).
 
@@ -47,6 +58,8 @@ def block_udf(make: Callable[[], object], schema: str, block_chars: int = BLOCK_
                     chars = 0
         if chars:
             yield work.flush()
+        del work
+        release()
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return F.pandas_udf(run, schema)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessella.llm.blocks import bound_batches, block_udf
+from tessella.llm.blocks import SMALL_BLOCK, bound_batches, block_udf
 
 #: Characters beyond these take the library's own normaliser and splitter: for the ones here (Latin
 #: letters, digits, usual punctuation) NFC changes nothing and ``re`` knows the same classes.
@@ -313,7 +313,7 @@ class _Count(_Block):
 
 def encode_column(text: Column, path: str) -> Column:
     """struct(n_tokens, ids) of a text column."""
-    return block_udf(lambda: _Encode(path), ENCODED)(text)
+    return block_udf(lambda: _Encode(path), ENCODED, SMALL_BLOCK)(text)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "encoded") -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.blocks import bound_batches
+from tessella.llm.blocks import bound_batches, release
 from tessella.llm.components import components, durable
 
 WORDS, SEED = 3, 42
@@ -55,11 +55,13 @@ def fingerprint_of(text: str) -> int:
 def fingerprint(text: Column) -> Column:
     """The fingerprint of a text column as a long; null is as an empty text."""
 
-    @F.pandas_udf("long")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint_of(t or "") for t in texts], dtype="int64")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([fingerprint_of(t or "") for t in texts], dtype="int64")
+        release()
 
-    return run(text)
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "long")(text)
 
 
 def pivot_values() -> list[int]:
@@ -92,6 +94,7 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _edges(rows.iloc[:cut])
     if rest is not None:
         yield _edges(rest)
+    release()
 
 
 def _edges(rows: pd.DataFrame) -> pd.DataFrame:

@@ -13,6 +13,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,6 +90,10 @@ class _Block:
         self.marks = np.concatenate([self.marks, np.array([marks(w) for w in new], bool).reshape(-1, 5)])
         return np.array([[*((self.marks[codes] * freq[:, None]).sum(0) / max(1, n)), *again] for codes, freq, n, again in self.docs]).reshape(-1, len(LABELLERS))
 
+    def patterns(self, shares: np.ndarray) -> list[str]:
+        """The votes on each text as a string; an empty text shows nothing to vote on."""
+        return ["".join(map(str, v)) if d[2] else "2" * len(LABELLERS) for v, d in zip(votes(shares), self.docs)]
+
     def done(self) -> None:
         self.docs = []
         self.terms.done()
@@ -104,9 +109,7 @@ def votes(shares: np.ndarray) -> np.ndarray:
 
 class _Votes(_Block):
     def flush(self) -> pd.DataFrame:
-        found = votes(self.shares())
-        # An empty text shows nothing to vote on.
-        out = ["".join(map(str, v)) if d[2] else "2" * len(LABELLERS) for v, d in zip(found, self.docs)]
+        out = self.patterns(self.shares())
         self.done()
         return pd.DataFrame({"pattern": out})
 
@@ -117,16 +120,41 @@ def binned(shares: np.ndarray) -> list[np.ndarray]:
     return list((-1 - steps - 10 * np.arange(shares.shape[1])).astype(np.int32))
 
 
-class _Terms(_Block):
+def place(text: str) -> float:
+    """A text's place from 0 to 1 by hash, the same number as the column ``train`` filters by."""
+    return (xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), 42) >> 11) / (1 << 53)
+
+
+class _Sample(_Block):
+    """Patterns, and the terms of texts whose place is below their pattern's share; null for others.
+
+    One function does both, so that a task keeps one Python worker busy and no text is voted on twice.
+    """
+
+    def __init__(self, share: dict[str, float]):
+        super().__init__()
+        self.share, self.texts, self.taken = share, [], Terms(split, spell)
+
+    def add(self, text: str) -> None:
+        super().add(text)
+        self.texts.append(text)
+
     def flush(self) -> pd.DataFrame:
         shares = self.shares()
-        self.terms.resolve()
+        patterns = self.patterns(shares)
+        coded = [self.taken.codes(text) if place(text) < self.share.get(pattern, 0.0) else None for text, pattern in zip(self.texts, patterns)]
+        self.taken.resolve()
         rows = []
-        for (codes, freq, n, _), own in zip(self.docs, binned(shares)):
-            terms, counts = self.terms.counts(codes, freq)
-            rows.append((np.concatenate([own, terms]), np.concatenate([np.ones(len(own)), np.sqrt(counts / max(1, n))]).astype(np.float32)))
+        for pattern, own, code, (_, _, n, _) in zip(patterns, binned(shares), coded, self.docs):
+            if code is None:
+                rows.append((pattern, None, None))
+                continue
+            terms, counts = self.taken.counts(*code)
+            rows.append((pattern, np.concatenate([own, terms]), np.concatenate([np.ones(len(own)), np.sqrt(counts / max(1, n))]).astype(np.float32)))
+        self.texts = []
+        self.taken.done()
         self.done()
-        return pd.DataFrame(rows, columns=["terms", "values"])
+        return pd.DataFrame(rows, columns=["pattern", "terms", "values"])
 
 
 #: Bad texts are of two kinds, and labellers of one kind see nothing wrong with the other.
@@ -227,7 +255,7 @@ def train(docs: DataFrame, text: str = "text") -> tuple[LabelModel, Scorer]:
     """
     bound_batches(docs.sparkSession)
     t = F.col(f"`{text}`")
-    voted = docs.select(t.alias("t"), block_udf(_Votes, "pattern string", SMALL_BLOCK)(t).alias("v")).select("t", "v.pattern", F.xxhash64("t").alias("h"))
+    voted = docs.select(t.alias("t"), block_udf(_Votes, "pattern string", SMALL_BLOCK)(t).alias("v")).select("t", "v.pattern")
     counts = voted.groupBy("pattern").agg(F.count("*").alias("n"), F.count_if(F.char_length("t").between(1, SAMPLE_CHARS)).alias("fit")).collect()  # at most 3 ** labellers rows
     model = LabelModel({r["pattern"]: r["n"] for r in counts})
     share = {}
@@ -237,12 +265,12 @@ def train(docs: DataFrame, text: str = "text") -> tuple[LabelModel, Scorer]:
     if not counts:
         return model, Scorer([], [], np.zeros(0))
     # The hash decides before the votes are cast again: only texts below the largest share are looked at.
-    place = F.shiftrightunsigned(F.xxhash64("t"), 11) / F.lit(float(1 << 53))
-    few = docs.select(t.alias("t")).where(F.char_length("t").between(1, SAMPLE_CHARS) & (place < max(share.values())))
-    again = few.select("t", block_udf(_Votes, "pattern string", SMALL_BLOCK)(F.col("t")).alias("v")).select("t", "v.pattern")
-    shares = F.create_map(*(x for p, s in share.items() for x in (F.lit(p), F.lit(s))))
-    sample = again.where(place < shares[F.col("pattern")]).limit(2 * SAMPLE_TEXTS)
-    rows = sample.select("pattern", F.xxhash64("t").alias("h"), block_udf(_Terms, "terms array<int>, values array<float>", SMALL_BLOCK)(F.col("t")).alias("f")).select("pattern", "h", "f.*").toArrow().to_pandas().sort_values("h", kind="stable")
+    h = F.xxhash64("t")
+    few = docs.select(t.alias("t")).where(F.char_length("t").between(1, SAMPLE_CHARS) & (F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53)) < max(share.values())))
+    # Called nondeterministic, or Catalyst evaluates it a second time in the filter that it pushes down.
+    draw = block_udf(lambda: _Sample(share), "pattern string, terms array<int>, values array<float>", SMALL_BLOCK).asNondeterministic()
+    sample = few.select(h.alias("h"), draw(F.col("t")).alias("f")).select("h", "f.*").where("terms is not null").limit(2 * SAMPLE_TEXTS)
+    rows = sample.toArrow().to_pandas().sort_values("h", kind="stable")
     return model, Scorer(rows["terms"].tolist(), rows["values"].tolist(), rows["pattern"].map(model.posterior).to_numpy(float))
 
 

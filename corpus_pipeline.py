@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, decontam, langid, simhash, weaklabels
+from tessella.llm import bpe, decontam, langid, neardup, weaklabels
 from tessella.llm.materialise import stored
 from tessella.llm.queries import PIECES, tokenizer_path
 
@@ -40,8 +40,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: one document of each group stays."""
-    return simhash.deduplicate(docs)
+    """Near-dedup: of documents linked by a 5-word Jaccard similarity of 0.8 or more one stays."""
+    return neardup.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

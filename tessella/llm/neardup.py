@@ -1,0 +1,234 @@
+"""Near-duplicates by Jaccard similarity of word shingles: MinHash bands give pairs, sets verify them.
+
+Two texts link when the sets of their ``WORDS``-word shingles have a similarity of 0.8 or more.
+Equal sets are one node.  ``BANDS`` bands of ``ROWS`` MinHash values deal nodes into buckets; a pair
+at the threshold shares none with a chance of (1 - 0.8^5)^32, 3e-6.  Within a bucket pairs fall that
+lengths or parity bits rule out, which loses no pair, and those left are compared by their whole sets.
+
+Dense buckets are first joined by stars around changing centres, so that pairs that are connected
+already need no row; pairs of different components are all looked at in the end.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessella.llm.blocks import bound_batches, release
+from tessella.llm.components import components, durable
+
+WORDS, SEED = 5, 42
+BANDS, ROWS = 32, 5
+#: A bucket of more components than DENSE asks for a round of stars, up to STARS of them.
+DENSE, STARS = 64, 3
+#: Bits of parity of a node, and shingles whose MinHash values are taken at once.
+PARITY, CHUNK = 512, 2048
+#: Centres' sets are dealt to so many rows, since one centre can have very many pairs.
+SALT = 16
+#: Bits of a table of the nodes whose sets are asked for; it only spares others the shuffle.
+TABLE = 1 << 23
+
+_RANDOM = np.random.default_rng(SEED)
+_TIMES, _PLUS = _RANDOM.integers(0, 2**63, (2, BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = _RANDOM.integers(0, 2**63, ROWS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; fewer words are one shingle, no words none."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    runs = map(b" ".join, zip(*(words[k:] for k in range(WORDS)))) if len(words) >= WORDS else [b" ".join(words)]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(s, SEED) for s in runs], np.uint64))
+
+
+def node_of(found: np.ndarray) -> int:
+    """A signed 64-bit name of a set."""
+    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).astype(np.int64))
+
+
+def bands_of(found: np.ndarray) -> np.ndarray:
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for s in range(0, len(found), CHUNK):
+        least = np.minimum(least, (found[s : s + CHUNK] * _TIMES + _PLUS).min(1))
+    mixed = least.reshape(BANDS, ROWS) ^ (least.reshape(BANDS, ROWS) >> np.uint64(29))
+    return ((mixed * _MIX[:ROWS]).sum(1, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX[ROWS]).view(np.int64)
+
+
+def parity_of(found: np.ndarray) -> bytes:
+    """Of each of PARITY classes of hashes, whether the set holds an odd number."""
+    return np.packbits(np.bincount((found >> np.uint64(20)).astype(np.int64) % PARITY, minlength=PARITY) & 1).tobytes()
+
+
+SIGNED = "node long, n long, parity binary, bands array<long>"
+
+
+def _sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for texts in batches:
+        sets = [shingles(t) for t in texts]
+        yield pd.DataFrame(
+            {
+                "node": pd.Series([node_of(s) for s in sets], dtype="int64"),
+                "n": pd.Series([len(s) for s in sets], dtype="int64"),
+                "parity": pd.Series([parity_of(s) for s in sets], dtype=object),
+                "bands": pd.Series([bands_of(s) for s in sets], dtype=object),
+            }
+        )
+    release()
+
+
+def _name(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield pd.Series([node_of(shingles(t)) for t in texts], dtype="int64")
+    release()
+
+
+def _similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Whether the similarity of two sets is 0.8 or more: 9 times what they share against 4 times both sizes."""
+    for left, right in batches:
+        out = []
+        for x, y in zip(left, right):
+            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            out.append(9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b)))
+        yield pd.Series(out, dtype=bool)
+    release()
+
+
+_sign.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+_name.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+_similar.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+
+
+def _pairs_of(rows: pd.DataFrame, star: bool) -> pd.DataFrame:
+    """Pairs of different labels of whole buckets that lengths and parity don't rule out."""
+    band, node, label, n = (rows[c].to_numpy() for c in ("band", "node", "label", "n"))
+    bits = np.frombuffer(b"".join(rows["parity"]), np.uint64).reshape(len(rows), PARITY // 64)
+    cuts = np.flatnonzero(np.diff(band)) + 1
+    found = []
+    for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(band)]):
+        for i in range(s, s + 1 if star else e - 1):
+            j = np.arange(i + 1, e)
+            j = j[label[j] != label[i]]
+            j = j[5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])]
+            j = j[9 * np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= n[i] + n[j]]
+            if len(j):
+                found.append(np.stack([np.full(len(j), node[i]), node[j]]))
+    a, b = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+    return pd.DataFrame({"a": a, "b": b})
+
+
+def _looked(star: bool):
+    """Rows come bucket by bucket; a bucket that isn't over waits for the next batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            band = batch["band"].to_numpy()
+            cut = int(np.argmax(band == band[-1]))
+            if cut or (rest and rest[-1]["band"].iat[-1] != band[-1]):
+                yield _pairs_of(pd.concat([*rest, batch.iloc[:cut]], ignore_index=True), star)
+                rest = []
+            rest.append(batch.iloc[cut:])
+        if rest:
+            yield _pairs_of(pd.concat(rest, ignore_index=True), star)
+        release()
+
+    return run
+
+
+def _sets(texts: DataFrame, used: DataFrame) -> DataFrame:
+    """node and shingles of the nodes in ``used``, made from the texts again: kept sets would be as large as the input."""
+    place = F.pmod("node", F.lit(TABLE))
+    parts = used.groupBy(F.shiftright(place, 15).alias("k")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767))).alias("bits")).collect()
+    table = np.zeros(TABLE // 8, np.uint8)
+    for r in parts:
+        table[r["k"] * 4096 :][:4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    shared = texts.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        bits = shared.value
+        for batch in batches:
+            nodes, out = [], []
+            for text in batch:
+                found = shingles(text)
+                nodes.append(node_of(found))
+                at = nodes[-1] % TABLE
+                out.append(found.tobytes() if bits[at >> 3] >> (at & 7) & 1 else None)
+            yield pd.DataFrame({"node": pd.Series(nodes, dtype="int64"), "shingles": pd.Series(out, dtype=object)})
+        release()
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    found = texts.select(F.pandas_udf(run, "node long, shingles binary")("text").alias("s")).select("s.*").where("shingles is not null")
+    return found.join(used, "node", "left_semi").dropDuplicates(["node"])
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar."""
+    pairs = durable(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("salt", F.pmod(F.hash("b"), F.lit(SALT))))
+    used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    held = durable(_sets(texts, used))
+    left = pairs.select("a", "salt").distinct().join(held.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    right = pairs.select("b", F.pmod(F.hash("a"), F.lit(SALT)).alias("salt_b")).distinct().join(held.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    both = pairs.withColumn("salt_b", F.pmod(F.hash("a"), F.lit(SALT))).join(left, ["a", "salt"]).join(right, ["b", "salt_b"])
+    return durable(both.where(F.pandas_udf(_similar, "boolean")("x", "y")).select("a", "b"))
+
+
+def links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect what the similar pairs of ``nodes`` (node, n, parity, bands) connect."""
+    rows = nodes.select("node", F.explode("bands").alias("band"))
+    shared = rows.groupBy("band").count().where("count > 1").select("band")
+    rows = durable(rows.join(shared, "band", "left_semi"))
+    edges, label = None, None
+    for step in range(STARS + 1):
+        named = rows.withColumn("label", F.col("node")) if label is None else rows.join(label, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        if edges is not None:  # buckets within one component are done
+            named = named.join(named.groupBy("band").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("band"), "band", "left_semi")
+        named = durable(named)
+        most = named.groupBy("band").agg(F.count_distinct("label").alias("k")).agg(F.max("k")).first()[0]
+        if most is None:
+            break
+        star = most > DENSE and step < STARS
+        full = named.join(nodes.select("node", "n", "parity"), "node").withColumn("at", F.xxhash64("node", F.lit(step)))
+        dealt = full.repartition("band").sortWithinPartitions("band", "at").select("band", "node", "label", "n", "parity")
+        new = _verified(dealt.mapInPandas(_looked(star), "a long, b long"), texts)
+        edges = new if edges is None else edges.unionByName(new)
+        if not star:
+            break
+        label = durable(components(edges))
+    return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if edges is None else edges
+
+
+def _groups(signed: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, root and component_id (the smallest key) of each node of ``signed``."""
+    nodes = durable(signed.groupBy("node").agg(F.min("key").alias("least_key"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("bands").alias("bands")))
+    roots = components(links(texts, nodes.drop("least_key")))
+    placed = nodes.select("node", "least_key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = placed.groupBy("root").agg(F.min("least_key").alias("component_id"))
+    return durable(placed.join(least, "root").select("node", "root", "component_id"))
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each near-duplicate group stays, one with the smallest key; all columns are kept.
+
+    Texts without words are one group.  Of several rows with that key any one stays; a group
+    without keys keeps one of its rows.
+    """
+    bound_batches(docs.sparkSession)
+    signed = durable(docs.select(F.col(f"`{key}`").alias("key"), F.pandas_udf(_sign, SIGNED)(F.col(f"`{text}`")).alias("s")).select("key", "s.*"))
+    groups = _groups(signed, docs.select(F.col(f"`{text}`").alias("text")))
+    if signed.groupBy("key").count().where("count > 1 or key is null").isEmpty():
+        loses = signed.select("key", "node").join(groups, "node").where("key <> component_id").select(F.col("key").alias("__key"))
+        return docs.join(loses, docs[key] == F.col("__key"), "left_anti")
+    # Keys that repeat don't tell rows apart, so rows are matched by their sets.
+    named = groups.select(F.col("node").alias("__node"), F.col("root").alias("__root"), F.col("component_id").alias("__least"))
+    placed = docs.withColumn("__of", F.pandas_udf(_name, "long")(F.col(f"`{text}`"))).join(named, F.col("__of") == F.col("__node"))
+    first = placed.where(F.col(f"`{key}`").eqNullSafe(F.col("__least"))).dropDuplicates(["__root"])
+    return first.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -5,9 +5,10 @@ back; where what it recovers isn't the source turn, the conflicting content is e
 further and the turn rendered and parsed anew, until they are identical.
 
 The grammar: a turn starts with a header, ``### `` + name + ``: ``.  The text runs to the first
-close mark without a backslash before it.  A header or close mark in the text has one backslash
-more before it than in the source, which the parser takes away.  A role other than the
-usual ones is spelled with percent codes, after ``=``.
+close mark without a backslash before it.  A mark in the text (a close mark, or a header up to its
+colon) has one backslash more before it than in the source, which the parser takes away.  Marks have no
+blank at either end, so none lies across the border of a text.  A role other than the usual ones is
+spelled with percent codes, after ``=``.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from tessella.llm.blocks import bound_batches
 NAMES = {"system": "System", "user": "User", "assistant": "Assistant", "tool": "Tool"}
 ROLES = {name: role for role, name in NAMES.items()}
 CLOSE = " </turn>\n"
-MARK = re.compile(r"(\\*)(### (?:System|User|Assistant|Tool|=[^\s:]*): |</turn>)")
+MARK = re.compile(r"(\\*)(### (?:System|User|Assistant|Tool|=[^\s:]*):|</turn>)")
 HEADER = re.compile(r"### (System|User|Assistant|Tool|=[^\s:]*): ")
 LOSS_ROLE = "assistant"
 
@@ -62,7 +63,7 @@ def parse(rendered: str) -> list[tuple[str, str]]:
 
 def render(role: str, text: str) -> tuple[str, int, int]:
     """The rendered turn, where its text starts in it, and the steps of escaping that it took."""
-    name = NAMES.get(role, f"={quote(role, safe='')}")
+    name = NAMES.get(role, f"={quote(role, safe='', errors='replace')}")
     header, body = f"### {name}: ", text
     for step in range(2):
         rendered = f"{header}{body}{CLOSE}"
@@ -81,7 +82,8 @@ def format_turns(conversations: DataFrame, conv: str = "conv_id", turn: str = "t
     A conversation is its rows' ``rendered`` in order of turn (ties by role, then rendered; null
     turns first).  loss_start and loss_stop bound the text of a turn that is learned from in code
     points of ``rendered``, null for others.  Null roles and texts are empty ones; a null conv is a
-    conversation of its own; lone surrogates become question marks; repeated rows are repeated turns.
+    conversation of its own; repeated rows are repeated turns, texts are kept whole whatever their
+    length, an empty table gives an empty one, and other columns, whatever their names, aren't looked at.
     """
     bound_batches(conversations.sparkSession)
 
@@ -99,12 +101,13 @@ def format_turns(conversations: DataFrame, conv: str = "conv_id", turn: str = "t
     return own.select("conv", "turn", "role", run("role", "text").alias("r")).select("conv", "turn", "role", "r.*")
 
 
-DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+FIELDS = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+DIGEST = "conv string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
 def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Digests of conversations whose turns come one after the other; memory holds one batch."""
-    now, rows = None, []
+    now, rows, begun = None, [], False
 
     def new(conv):
         return [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
@@ -114,11 +117,11 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         for conv, rendered, start, stop in zip(batch["conv"], batch["rendered"], batch["loss_start"], batch["loss_stop"]):
-            conv = None if pd.isna(conv) else int(conv)
-            if now is None or now[0] != conv:
-                if now is not None:
+            conv = None if pd.isna(conv) else conv
+            if not begun or now[0] != conv:
+                if begun:
                     rows.append(done())
-                now = new(conv)
+                now, begun = new(conv), True
             for role, text in parse(rendered):
                 now[1] += 1
                 now[2].update(f"{role}\n{text}\n".encode("utf-8", "replace"))
@@ -127,21 +130,21 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 loss = MARK.sub(lambda m: m[0][1:] if m[1] else m[0], rendered[int(start) : int(stop)])
                 now[3] += len(loss)
                 now[4].update(loss.encode("utf-8", "replace"))
-        yield _digest_frame(rows)
+        yield pd.DataFrame(rows, columns=["conv", *FIELDS])
         rows = []
-    if now is not None:
-        yield _digest_frame([done()])
+    if begun:
+        yield pd.DataFrame([done()], columns=["conv", *FIELDS])
 
 
-def _digest_frame(rows: list) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[f.split()[0] for f in DIGEST.split(", ")]).astype({"conv_id": "Int64"})
-
-
-def read_back(turns: DataFrame) -> DataFrame:
+def read_back(turns: DataFrame, conv: str = "conv_id") -> DataFrame:
     """Digests of each conversation, read back from ``format_turns``'s output by the parser.
 
-    A digest runs over a conversation in order, so its turns meet in one task; they stream through
-    it, and memory doesn't grow with them.
+    Columns: ``conv`` (of the type that it has in the source; a null one is a conversation), n_turns,
+    turns_sha256, loss_chars, loss_sha256 and formatted_chars; an empty table gives none.  A digest runs
+    over a conversation in order, so its turns meet in one task; they stream through it, and memory
+    doesn't grow with them.
     """
-    ordered = turns.select("conv", "turn", "role", "rendered", "loss_start", "loss_stop").repartition("conv").sortWithinPartitions("conv", "turn", "role", "rendered")
-    return ordered.mapInPandas(_digests, DIGEST)
+    kind = turns.schema["conv"].dataType
+    own = turns.select(F.col("conv").cast("string").alias("conv"), "turn", "role", "rendered", "loss_start", "loss_stop")
+    ordered = own.repartition("conv").sortWithinPartitions("conv", "turn", "role", "rendered")
+    return ordered.mapInPandas(_digests, DIGEST).select(F.col("conv").cast(kind).alias(conv), *FIELDS)

@@ -11,12 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.exprs import let, literal_array, lower_ascii, words_between
+from tessella.llm.components import durable
+from tessella.llm.exprs import col, fresh, let, literal_array, lower_ascii, refuse, words_between
 
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 WINDOW = 10
-#: Leading words that are hashed, and words of 64 bits in the bitmap (128 KB).
-LEAD, BITMAP = 3, 1 << 14
+#: Leading words that are hashed.
+LEAD = 3
+#: Words of 64 bits in the bitmap: a quarter of the windows, in powers of two within these bounds (128 KB,
+#: 4 MB).  A fuller bitmap lets more windows through to the join, and loses none.
+LEAST_BITMAP, MOST_BITMAP = 1 << 14, 1 << 19
 #: The table of windows is broadcast up to so many rows (about 100 bytes each), and shuffled beyond.
 BROADCAST_WINDOWS = 200_000
 
@@ -46,20 +50,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] =
 
     spans are array<struct<start,stop>> of word positions from 0, disjoint and in order; items are
     the sorted ids of items with a window in the text.  Null and empty texts have no words and no
-    hits.  Rows with equal keys and equal texts get equal results; keys may be null.
+    hits.  Rows with equal keys and equal texts get equal results; keys may be null.  Texts are read
+    whole; an empty table of documents gives none, an empty benchmark no hits.  Other columns aren't looked at.
     """
-    windows = benchmark_windows(benchmark, item)
+    refuse(keys, "text_hash", "n_words", "spans", "items")
+    windows = durable(benchmark_windows(benchmark, item))
     facts = windows.groupBy().agg(F.count("*").alias("n"), F.array_sort(F.collect_set("n_words")).alias("lengths")).first()
+    lengths, size = facts["lengths"], LEAST_BITMAP
+    while size < min(MOST_BITMAP, facts["n"] // 4):
+        size *= 2
+
+    def slot(lead: Column) -> Column:
+        return F.shiftrightunsigned(lead, 6).bitwiseAND(size - 1).cast("int")
+
+    bits = windows.groupBy(slot(F.col("lead")).alias("slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("lead").bitwiseAND(63).cast("int"))).alias("bits"))
+    table = [0] * size
+    for row in bits.collect():  # at most ``size`` rows
+        table[row["slot"]] = row["bits"]
+    bitmap = literal_array(table if facts["n"] else [0], "long")
     if facts["n"] <= BROADCAST_WINDOWS:
         windows = F.broadcast(windows)
-    lengths = facts["lengths"]
-    bits = benchmark_windows(benchmark, item).groupBy(_slot(F.col("lead")).alias("slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("lead").bitwiseAND(63).cast("int"))).alias("bits"))
-    every = docs.sparkSession.range(BITMAP).select(F.col("id").cast("int").alias("slot")).join(bits, "slot", "left").fillna(0)
-    bitmap = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "bits"))), lambda s: s["bits"]).alias("bitmap"))
-    bitmap = literal_array(bitmap.first()["bitmap"] if facts["n"] else [0], "long")
 
     def known(lead: Column) -> Column:
-        return F.getbit(F.get(bitmap, _slot(lead)), lead.bitwiseAND(63).cast("int")) == 1
+        return F.getbit(F.get(bitmap, slot(lead)), lead.bitwiseAND(63).cast("int")) == 1
 
     def candidates(words: Column, hashes: Column) -> Column:
         """Windows whose leading words may be those of a benchmark window."""
@@ -75,13 +88,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] =
         base = F.struct(F.lit(None).cast("string").alias("win"), F.lit(None).cast("int").alias("start"), F.size(words).alias("stop"))
         return F.concat(F.array(base), let(F.transform(words, lambda w: F.xxhash64(w)), lambda hashes: candidates(words, hashes)))
 
-    t = F.col(f"`{text}`")
-    rows = docs.select(*(F.col(f"`{k}`").alias(k) for k in keys), F.xxhash64(t, F.octet_length(t)).alias("text_hash"), F.explode_outer(let(normal_words(t), scan)).alias("w"))
+    t = col(text)
+    named = [f"k{i}" for i in range(len(keys))]
+    rows = docs.select(*(col(k).alias(n) for k, n in zip(keys, named)), F.xxhash64(t, F.octet_length(t)).alias("text_hash"), F.explode_outer(let(normal_words(t), scan)).alias("w"))
     # A row for the document itself joins nothing; its key differs from row to row, so a shuffled join deals it evenly.
     joined = rows.withColumn("win", F.coalesce("w.win", F.concat(F.lit("\0"), F.hex("text_hash")))).join(windows.select("win", "items"), "win", "left")
     hit = joined.where("w.win is null or items is not null")
     own = F.col("w.win").isNull()
-    grouped = hit.groupBy(*keys, "text_hash").agg(
+    grouped = hit.groupBy(*named, "text_hash").agg(
         F.sum(own.cast("int")).alias("copies"),
         F.max(F.when(own, F.col("w.stop"))).cast("long").alias("n_words"),
         F.collect_set(F.when(~own, F.struct("w.start", "w.stop"))).alias("found"),
@@ -94,12 +108,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] =
         stops = F.filter(at, lambda p, i: (i == F.size(at) - 1) | (F.get(at, i + 1) != p + 1))
         return F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("start"), (b + 1).alias("stop")))
 
-    merged = grouped.withColumn("spans", let(places, merge))
-    return merged.select(*keys, "text_hash", "n_words", "spans", "items", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("one")).drop("one")
-
-
-def _slot(lead: Column) -> Column:
-    return F.shiftrightunsigned(lead, 6).bitwiseAND(BITMAP - 1).cast("int")
+    merged = grouped.withColumn("spans", let(places, merge)).withColumn("one", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    return merged.select(*(F.col(n).alias(k) for k, n in zip(keys, named)), "text_hash", "n_words", "spans", "items")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", remove: str = "documents") -> DataFrame:
@@ -109,9 +119,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     case.  All columns of ``docs`` are kept, whatever their names; documents without a hit, null
     texts among them, are unchanged.
     """
-    t = F.col(f"`{text}`")
-    hits = contamination(docs, benchmark, (key,), text).where(F.size("spans") > 0).select(F.col(key).alias("__key"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans")).dropDuplicates(["__key", "__hash"])
-    match = F.col("__hash").eqNullSafe(F.xxhash64(t, F.octet_length(t))) & F.col("__key").eqNullSafe(docs[key])
+    t = col(text)
+    k, h, spans = fresh(docs.columns, "__key", "__hash", "__spans")
+    found = contamination(docs.select(col(key).alias("key"), t.alias("text")), benchmark, ("key",), "text").where(F.size("spans") > 0)
+    hits = found.select(F.col("key").alias(k), F.col("text_hash").alias(h), F.col("spans").alias(spans)).dropDuplicates([k, h])
+    match = F.col(h).eqNullSafe(F.xxhash64(t, F.octet_length(t))) & F.col(k).eqNullSafe(col(key))
     if remove == "documents":
         return docs.join(hits, match, "left_anti")
     if remove != "spans":
@@ -121,11 +133,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     def cut(pieces: Column) -> Column:
         first = F.when(F.get(pieces, F.lit(0)).rlike(f"^{separators}"), 1).otherwise(0)  # words and separators alternate
         inside = lambda s, i: (i >= 2 * s["start"] + first) & (i <= 2 * s["stop"] - 2 + first)
-        return F.array_join(F.filter(pieces, lambda p, i: ~F.exists("__spans", lambda s: inside(s, i))), "")
+        return F.array_join(F.filter(pieces, lambda p, i: ~F.exists(spans, lambda s: inside(s, i))), "")
 
     pieces = F.regexp_extract_all(t, F.lit(f"({separators}|{separators.replace('[', '[^', 1)})"), F.lit(1))
-    cleaned = docs.join(hits, match, "left").withColumn(text, F.when(F.col("__spans").isNull(), t).otherwise(let(pieces, cut)))
-    return cleaned.select(*(F.col(f"`{c}`") for c in docs.columns))
+    cleaned = docs.join(hits, match, "left").withColumn(text, F.when(F.col(spans).isNull(), t).otherwise(let(pieces, cut)))
+    return cleaned.select(*(col(c) for c in docs.columns))
 
 
 ORACLE = r"""

@@ -36,3 +36,26 @@ def literal_array(values: list, element: str) -> Column:
 
 #: White space of the rules, SimHash and the classifiers: space and the five controls from tab on.
 BLANKS = "[\\x20\\x09-\\x0D]+"
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each lengthened until no column has it, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def col(name: str) -> Column:
+    """The column of exactly that name, dots and back quotes in it included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def refuse(keys: tuple[str, ...], *made: str) -> None:
+    """Key columns must not have the names of the columns that are made."""
+    clash = {k.lower() for k in keys} & set(made)
+    if clash:
+        raise ValueError(f"a key column is named as a column of the result: {sorted(clash)}")

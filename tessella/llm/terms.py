@@ -14,16 +14,17 @@ class Terms:
 
     ``spell(word)`` gives a word's terms as strings; a term's number is its 31-bit hash.
     With ``known`` (sorted hashes), terms that aren't in it are left out.  The table of words is
-    emptied between blocks once it holds ``most``, so its memory is bounded.
+    emptied between blocks once it holds ``most`` words or ``most_chars`` characters, so its memory is bounded.
     """
 
-    def __init__(self, split: Callable[[str], list[str]], spell: Callable[[str], list[str]], known: np.ndarray | None = None, most: int = 150_000):
-        self.split, self.spell, self.known, self.most = split, spell, known, most
+    def __init__(self, split: Callable[[str], list[str]], spell: Callable[[str], list[str]], known: np.ndarray | None = None, most: int = 150_000, most_chars: int = 8_000_000):
+        self.split, self.spell, self.known, self.most, self.most_chars = split, spell, known, most, most_chars
         self._clear()
 
     def _clear(self) -> None:
         self.words: defaultdict[str, int] = defaultdict()
         self.words.default_factory = self.words.__len__
+        self.chars = 0
         # The words' terms, one word after the other, and where each word's start.
         self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -34,7 +35,9 @@ class Terms:
         return codes, freq.astype(np.int32)
 
     def resolve(self) -> None:
-        hashed = [[xxhash.xxh32_intdigest(t) & 0x7FFFFFFF for t in self.spell(word)] for word in list(self.words)[len(self.sizes) :]]
+        new = list(self.words)[len(self.sizes) :]
+        self.chars += sum(map(len, new))
+        hashed = [[xxhash.xxh32_intdigest(t) & 0x7FFFFFFF for t in self.spell(word)] for word in new]
         h = np.fromiter((x for own in hashed for x in own), np.int32)
         owner = np.repeat(np.arange(len(hashed)), [len(own) for own in hashed])
         if self.known is not None:
@@ -56,5 +59,5 @@ class Terms:
         return terms, np.bincount(place, np.repeat(freq, n))
 
     def done(self) -> None:
-        if len(self.words) > self.most:
+        if len(self.words) > self.most or self.chars > self.most_chars:
             self._clear()

@@ -13,14 +13,16 @@ import re
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.blocks import SMALL_BLOCK, block_udf, bound_batches
+from tessella.llm.components import durable
+from tessella.llm.exprs import col
+from tessella.llm.samples import first_of_each, one_of_each, text_hash
 from tessella.llm.terms import Terms
 
-#: Texts that the scorer is fitted to, by hash, half of them likely bad where there are so many.
+#: Distinct texts that the scorer is fitted to (half of them likely bad ones, the first by hash), and their greatest length.
 SAMPLE_TEXTS, SAMPLE_CHARS = 6000, 20_000
 TERMS, LEAST_TEXTS = 20_000, 5
 EPOCHS, BATCH, RATE, DECAY = 20, 128, 0.3, 1e-5
@@ -54,11 +56,11 @@ def split(text: str) -> list[str]:
 def shape(word: str) -> str:
     for pattern, put in SHAPE:
         word = pattern.sub(put, word)
-    return word[:12]
+    return word
 
 
 def spell(word: str) -> list[str]:
-    return [word.lower()[:40], "^" + shape(word)]
+    return [word.lower(), "^" + shape(word)]
 
 
 def marks(word: str) -> tuple[bool, bool, bool, bool, bool]:
@@ -120,41 +122,18 @@ def binned(shares: np.ndarray) -> list[np.ndarray]:
     return list((-1 - steps - 10 * np.arange(shares.shape[1])).astype(np.int32))
 
 
-def place(text: str) -> float:
-    """A text's place from 0 to 1 by hash, the same number as the column ``train`` filters by."""
-    return (xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), 42) >> 11) / (1 << 53)
-
-
 class _Sample(_Block):
-    """Patterns, and the terms of texts whose place is below their pattern's share; null for others.
-
-    One function does both, so that a task keeps one Python worker busy and no text is voted on twice.
-    """
-
-    def __init__(self, share: dict[str, float]):
-        super().__init__()
-        self.share, self.texts, self.taken = share, [], Terms(split, spell)
-
-    def add(self, text: str) -> None:
-        super().add(text)
-        self.texts.append(text)
+    """The terms of texts that were chosen, with their values."""
 
     def flush(self) -> pd.DataFrame:
         shares = self.shares()
-        patterns = self.patterns(shares)
-        coded = [self.taken.codes(text) if place(text) < self.share.get(pattern, 0.0) else None for text, pattern in zip(self.texts, patterns)]
-        self.taken.resolve()
+        self.terms.resolve()
         rows = []
-        for pattern, own, code, (_, _, n, _) in zip(patterns, binned(shares), coded, self.docs):
-            if code is None:
-                rows.append((pattern, None, None))
-                continue
-            terms, counts = self.taken.counts(*code)
-            rows.append((pattern, np.concatenate([own, terms]), np.concatenate([np.ones(len(own)), np.sqrt(counts / max(1, n))]).astype(np.float32)))
-        self.texts = []
-        self.taken.done()
+        for own, (codes, freq, n, _) in zip(binned(shares), self.docs):
+            terms, counts = self.terms.counts(codes, freq)
+            rows.append((np.concatenate([own, terms]), np.concatenate([np.ones(len(own)), np.sqrt(counts / max(1, n))]).astype(np.float32)))
         self.done()
-        return pd.DataFrame(rows, columns=["pattern", "terms", "values"])
+        return pd.DataFrame(rows, columns=["terms", "values"])
 
 
 #: Bad texts are of two kinds, and labellers of one kind see nothing wrong with the other.
@@ -250,37 +229,40 @@ class _Score(_Block):
 def train(docs: DataFrame, text: str = "text") -> tuple[LabelModel, Scorer]:
     """The label model of all texts, and a scorer fitted to a sample of their posteriors.
 
-    The sample holds about ``SAMPLE_TEXTS`` texts of up to ``SAMPLE_CHARS`` characters, chosen by hash;
-    no given label is read.  An empty table gives a scorer that says 0.5.
+    The sample holds the first ``SAMPLE_TEXTS / 2`` distinct texts that are likely good and as many likely
+    bad ones, in order of hash, among those of up to ``SAMPLE_CHARS`` characters: the same whatever way the
+    rows are dealt, and however many copies a text has.  Nulls vote as empty texts; no given label is
+    read.  An empty table gives a scorer that says 0.5.
     """
-    bound_batches(docs.sparkSession)
-    t = F.col(f"`{text}`")
-    voted = docs.select(t.alias("t"), block_udf(_Votes, "pattern string", SMALL_BLOCK)(t).alias("v")).select("t", "v.pattern")
-    counts = voted.groupBy("pattern").agg(F.count("*").alias("n"), F.count_if(F.char_length("t").between(1, SAMPLE_CHARS)).alias("fit")).collect()  # at most 3 ** labellers rows
-    model = LabelModel({r["pattern"]: r["n"] for r in counts})
-    share = {}
-    for bad in (True, False):
-        own = [r for r in counts if (model.posterior[r["pattern"]] < 0.5) == bad]
-        share |= {r["pattern"]: min(1.0, SAMPLE_TEXTS / 2 / max(1, sum(x["fit"] for x in own))) for r in own}
+    spark = docs.sparkSession
+    bound_batches(spark)
+    t = col(text)
+    hashed = docs.select(t.alias("t"), F.when(F.char_length(t).between(1, SAMPLE_CHARS), text_hash(t)).alias("h"))
+    # Votes are cast once; what is kept of a text is its hash and its pattern.
+    voted = durable(hashed.select("h", block_udf(_Votes, "pattern string", SMALL_BLOCK)(F.col("t"))["pattern"].alias("pattern")))
+    counts = {r["pattern"]: r["count"] for r in voted.groupBy("pattern").count().collect()}  # at most 3 ** labellers rows
+    model = LabelModel(counts)
     if not counts:
         return model, Scorer([], [], np.zeros(0))
-    # The hash decides before the votes are cast again: only texts below the largest share are looked at.
-    h = F.xxhash64("t")
-    few = docs.select(t.alias("t")).where(F.char_length("t").between(1, SAMPLE_CHARS) & (F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53)) < max(share.values())))
-    # Called nondeterministic, or Catalyst evaluates it a second time in the filter that it pushes down.
-    draw = block_udf(lambda: _Sample(share), "pattern string, terms array<int>, values array<float>", SMALL_BLOCK).asNondeterministic()
-    sample = few.select(h.alias("h"), draw(F.col("t")).alias("f")).select("h", "f.*").where("terms is not null").limit(2 * SAMPLE_TEXTS)
-    rows = sample.toArrow().to_pandas().sort_values("h", kind="stable")
-    return model, Scorer(rows["terms"].tolist(), rows["values"].tolist(), rows["pattern"].map(model.posterior).to_numpy(float))
+    posterior = F.broadcast(spark.createDataFrame(sorted(model.posterior.items()), "pattern string, soft double"))
+    soft = voted.where("h is not null").join(posterior, "pattern").select((F.col("soft") < 0.5).cast("int").alias("kind"), "h", "soft")
+    fit = {r["kind"]: r["count"] for r in soft.groupBy("kind").count().collect()}
+    chosen = first_of_each(soft.select("kind", "h"), fit, dict.fromkeys(fit, SAMPLE_TEXTS // 2))
+    chosen = one_of_each(soft, chosen).select("h", "soft")
+    drawn = one_of_each(hashed.where("h is not null").withColumn("kind", F.lit(0)), chosen.select(F.lit(0).alias("kind"), "h")).join(F.broadcast(chosen), "h")
+    rows = drawn.select("h", "soft", block_udf(_Sample, "terms array<int>, values array<float>", SMALL_BLOCK)(F.col("t")).alias("f")).select("h", "soft", "f.*")
+    rows = rows.toArrow().to_pandas().sort_values("h", kind="stable")
+    return model, Scorer(rows["terms"].tolist(), rows["values"].tolist(), rows["soft"].to_numpy(float))
 
 
 def classify(docs: DataFrame, scorer: Scorer, text: str = "text", out: str = "quality_score") -> DataFrame:
     """All rows and columns of ``docs`` and ``out``, a double from 0 to 1 (higher: likelier good).
 
-    Every text is judged whole and by itself; null and empty texts score as a text without words.
+    Every text is judged whole and by itself, so that equal ones score alike; null and empty texts score as
+    a text without words, an empty table gives an empty one, and a column that is named ``out`` is replaced.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(scorer)
-    scored = docs.withColumn(out, block_udf(lambda: _Score(shared.value), "score double", SMALL_BLOCK)(F.col(f"`{text}`")))
-    return scored.withColumn(out, F.col(f"`{out}`.score"))
+    scored = docs.withColumn(out, block_udf(lambda: _Score(shared.value), "score double", SMALL_BLOCK)(col(text)))
+    return scored.withColumn(out, col(out)["score"])

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessella.llm import neardup
+from tessella.llm import simhash
 
 
 def _shingles(text):
@@ -48,7 +48,7 @@ def made(seed=5):
 
 @pytest.mark.parametrize("dense", [64, 3])
 def test_stage_removes_edited_copies(spark, sf_dir, monkeypatch, dense):
-    monkeypatch.setattr(neardup, "DENSE", dense)
+    monkeypatch.setattr(simhash, "DENSE", dense)
     rows = made()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()}
@@ -66,6 +66,6 @@ def test_stage_on_documents(spark, sf_dir):
 def test_odd_rows(spark):
     rows = [(1, None), (None, ""), (2, " \n\t"), (3, "a b"), (3, "A  b"), (4, "a b c d e f"), (None, "g h"), (None, "g h")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = neardup.deduplicate(docs).collect()
+    kept = simhash.deduplicate(docs).collect()
     assert sorted((r["doc_id"] or 0, (r["text"] or "").lower().split()) for r in kept) == [(0, ["g", "h"]), (1, []), (3, ["a", "b"]), (4, list("abcdef"))]
-    assert neardup.deduplicate(docs.limit(0)).count() == 0
+    assert simhash.deduplicate(docs.limit(0)).count() == 0

@@ -1,29 +1,32 @@
 """Training-order materialisation: every sequence gets a global slot, and shards have a fixed stride.
 
-Documents are encoded and cut into sequences, which are numbered without gaps from 0.  A keyed
-Feistel network permutes the numbers; its domain is the next power of four, and a number
+Documents are encoded, joined end to end and cut into sequences, which are numbered without gaps from
+0.  A keyed Feistel network permutes the numbers; its domain is the next power of four, and a number
 that falls beyond the count is sent through again (cycle-walking), so the slots are the same dense
-range.  A shard holds ``SHARD`` consecutive slots, each at slot times stride, so a reader finds
-any slot with one seek and resumes where it stopped.
+range.  A shard holds ``SHARD`` consecutive slots as records of one size, so a reader finds any slot
+with one seek and resumes where it stopped.  Shards and index are written and read by Spark's own
+readers and writers, so any store that Spark reaches will do, and a retried task leaves no half shard.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.blocks import bound_batches, block_udf
-from tessella.llm.bpe import _Encode
+from tessella.llm.blocks import SMALL_BLOCK, bound_batches, release
+from tessella.llm.bpe import _Encode, vocabulary
 from tessella.llm.components import durable
+from tessella.llm.exprs import col
 
 #: Tokens of a sequence, sequences of a shard (16 MB), and rounds of the network.
 SEQUENCE, SHARD, ROUNDS = 512, 16_384, 6
+#: A record in a shard ends in a line feed, as Spark's writer ends it.
+END = 1
 
 
 def _round_keys(key: int) -> list[np.uint64]:
@@ -56,112 +59,146 @@ def slots(numbers: np.ndarray, count: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-class _Pack:
-    """Ids as bytes, and the number of the document's first sequence among its task's."""
+def id_bytes(path: str) -> int:
+    """Bytes of an id in the shards: two where the vocabulary fits, else four."""
+    return 2 if max(vocabulary(path).tokens) < 1 << 16 else 4
 
-    def __init__(self, path: str, length: int):
-        self.work, self.length, self.next = _Encode(path), length, 0
 
-    def add(self, text: str) -> None:
+class _Cut:
+    """Sequences of the documents added, one after the other, each document ended by the filler."""
+
+    def __init__(self, path: str, length: int, pad: int, width: int):
+        self.work, self.length, self.pad, self.kind, self.next = _Encode(path), length, pad, f"<u{width}", 0
+        self.keys: list = []
+
+    def add(self, key, text: str) -> None:
         self.work.add(text)
+        self.keys.append(key)
 
     def flush(self) -> pd.DataFrame:
-        rows = []
-        for ids in self.work.encoded():
-            n = -(-len(ids) // self.length)
-            rows.append((self.next, n, ids.astype("<u2").tobytes()))
-            self.next += n
-        return pd.DataFrame(rows, columns=["first", "n", "ids"])
+        """The sequences of a block of documents; the last one is filled up."""
+        found = [(k, ids) for k, ids in zip(self.keys, self.work.encoded()) if len(ids)]
+        self.keys = []
+        sizes = np.array([len(ids) + 1 for _, ids in found], np.int64)
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        n = -(-total // self.length)
+        flat = np.full(n * self.length, self.pad, self.kind)
+        for (_, ids), end in zip(found, ends.tolist()):
+            flat[end - len(ids) - 1 : end - 1] = ids
+        at = np.arange(n) * self.length
+        first = np.searchsorted(ends, at, "right")
+        last = np.searchsorted(ends, np.minimum(at + self.length, total), "left")
+        out = pd.DataFrame(
+            {
+                "number": np.arange(self.next, self.next + n),
+                "docs": [[found[k][0] for k in range(a, b + 1)] for a, b in zip(first.tolist(), last.tolist())],
+                "n_tokens": np.minimum(self.length, total - at).astype(np.int32),
+                "payload": [x.tobytes() for x in flat.reshape(n, self.length)],
+            }
+        )
+        self.next += n
+        return out
+
+
+def sequences(docs: DataFrame, path: str, pad: int, doc: str = "doc_id", text: str = "text", length: int = SEQUENCE) -> DataFrame:
+    """task, number (in the task, from 0), docs (their keys, as strings), n_tokens (before filler) and payload."""
+    bound_batches(docs.sparkSession)
+    width = id_bytes(path)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        work, chars = _Cut(path, length, pad, width), 0
+        for batch in batches:
+            for key, own in zip(batch["key"], batch["text"]):
+                work.add(key, own or "")
+                chars += len(own or "") + 50
+                if chars >= SMALL_BLOCK:
+                    yield work.flush()
+                    chars = 0
+        if chars:
+            yield work.flush()
+        del work
+        release()
+
+    own = docs.select(col(doc).cast("string").alias("key"), col(text).alias("text"))
+    cut = own.mapInPandas(run, "number long, docs array<string>, n_tokens int, payload binary")
+    return cut.select(F.spark_partition_id().alias("task"), "*")
 
 
 def training_order(docs: DataFrame, path: str, pad: int, key: int = 1, doc: str = "doc_id", text: str = "text", length: int = SEQUENCE, shard: int = SHARD) -> DataFrame:
-    """A row for each sequence, dealt and sorted by slot.
-
-    slot, shard, place (slot's place in the shard), doc, part (of the document, from 0), n_tokens and
-    payload: ``length`` two-byte little-endian ids, filled up with ``pad``.  Null and empty texts have
-    no sequences; repeated rows have theirs each.  Numbers follow the input's partitions and the
-    rows in them, so the same files and split size give the same order.
+    """A row for each sequence, dealt by shard and sorted by slot.
+
+    slot, shard, place (slot's place in the shard), docs (array of the keys of the documents that it has
+    tokens of, in order), n_tokens and payload: ``length`` little-endian ids of two bytes (four for a
+    vocabulary that needs them), filled up with ``pad``, which also ends each document.  Null and
+    empty texts have no tokens; null keys are nulls in docs; repeated rows have their tokens each; an
+    empty table gives no sequence; other columns aren't looked at.  Numbers follow the input's partitions
+    and the rows in them, so the same files and split size give the same order: an order by key would
+    have to shuffle all tokens a second time.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
-    packed = docs.select(F.col(f"`{doc}`").alias("doc"), F.spark_partition_id().alias("task"), block_udf(lambda: _Pack(path, length), "first long, n long, ids binary")(F.col(f"`{text}`")).alias("p")).select("doc", "task", "p.*")
-    folder = stored(packed)
-    rows = spark.read.parquet(folder)
-    sizes = {r["task"]: r["n"] for r in rows.groupBy("task").agg(F.sum("n").alias("n")).collect()}  # one number for each task of the scan
+    spark, kind = docs.sparkSession, docs.select(col(doc)).schema[0].dataType.simpleString()
+    rows = spark.read.parquet(stored(sequences(docs, path, pad, doc, text, length)))
+    sizes = {r["task"]: r["n"] for r in rows.groupBy("task").agg(F.count("*").alias("n")).collect()}  # one number for each task of the scan
     bases, count = {}, 0
     for task in sorted(sizes):
         bases[task], count = count, count + sizes[task]
     before = F.broadcast(spark.createDataFrame(sorted(bases.items()) or [(0, 0)], "task int, base long"))
-    stride = 2 * length
 
     @F.pandas_udf("long")
     def slot(numbers: pd.Series) -> pd.Series:
         return pd.Series(slots(numbers.to_numpy(), count, key))
 
-    part = F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.substring("ids", (k * stride + 1).cast("int"), F.lit(stride)))).alias("part", "payload")
-    cut = rows.where("n > 0").join(before, "task").select("doc", (F.col("base") + F.col("first")).alias("start"), part)
-    placed = cut.select(slot(F.col("start") + F.col("part")).alias("slot"), "doc", "part", "payload")
+    placed = rows.join(before, "task").select(slot(F.col("base") + F.col("number")).alias("slot"), F.col("docs").cast(f"array<{kind}>").alias("docs"), "n_tokens", "payload")
     shards = max(1, -(-count // shard))
-    dealt = placed.repartitionById(shards, F.floor(F.col("slot") / shard).cast("int")).sortWithinPartitions("slot")
-    filler = F.unhex(F.lit(int(pad).to_bytes(2, "little").hex()))
-    return dealt.select(
-        "slot",
-        F.floor(F.col("slot") / shard).cast("int").alias("shard"),
-        (F.col("slot") % shard).cast("int").alias("place"),
-        F.col("doc").alias(doc),
-        "part",
-        (F.octet_length("payload") / 2).cast("int").alias("n_tokens"),
-        F.rpad("payload", F.lit(stride), filler).alias("payload"),
-    )
+    own = placed.withColumn("shard", F.floor(F.col("slot") / shard).cast("int"))
+    dealt = own.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "slot")
+    return dealt.select("slot", "shard", (F.col("slot") % shard).cast("int").alias("place"), "docs", "n_tokens", "payload")
 
 
 def stored(df: DataFrame) -> str:
-    """Write a table to the folder of spark.checkpoint.dir, which all executors share; its path."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        durable(spark.range(0))
-    folder = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    """Write a table to a folder that all executors share; its path."""
+    folder = shared_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(folder)
     return folder
 
 
-def write_shards(ordered: DataFrame, folder: str, length: int = SEQUENCE) -> DataFrame:
-    """Write ``training_order``'s rows as files shard-N.bin in a folder that all executors share.
-
-    Returns shard, file, n_sequences; the files are complete when it has been run.  A file is
-    written under another name and then renamed, so a retried task leaves no half shard.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, out, temporary = None, None, ""
-        done = []
+def shared_folder(spark: SparkSession) -> str:
+    """A new name in the folder of spark.checkpoint.dir."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        durable(spark.range(0))
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
 
-        def close():
-            out.close()
-            os.replace(temporary, name(now))
-            done.append((now, name(now), os.path.getsize(name(now)) // (2 * length)))
 
-        def name(shard: int) -> str:
-            return os.path.join(folder, f"shard-{shard:06d}.bin")
+def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
+    """Write ``training_order``'s rows: one file of records in each folder shard=N, and the index of slots.
 
-        for batch in batches:
-            for shard, payload in zip(batch["shard"], batch["payload"]):
-                if shard != now:
-                    if out:
-                        close()
-                    now, temporary = shard, os.path.join(folder, f".{uuid.uuid4().hex}")
-                    out = open(temporary, "wb")  # noqa: SIM115
-                out.write(payload)
-        if out:
-            close()
-        yield pd.DataFrame(done, columns=["shard", "file", "n_sequences"])
-
-    os.makedirs(folder, exist_ok=True)
-    return ordered.select("shard", "payload").mapInPandas(run, "shard int, file string, n_sequences long")
-
-
-def read_slot(folder: str, slot: int, length: int = SEQUENCE, shard: int = SHARD) -> np.ndarray:
-    """The ids of one slot, by one seek."""
-    with open(os.path.join(folder, f"shard-{slot // shard:06d}.bin"), "rb") as f:
-        f.seek(slot % shard * 2 * length)
-        return np.frombuffer(f.read(2 * length), "<u2")
+    Returns the index: slot, shard, place, docs, n_tokens.  An existing folder is an error.
+    """
+    records = ordered.select(F.col("payload").cast("string").alias("value"), "shard")
+    records.write.mode("errorifexists").partitionBy("shard").text(f"{folder}/shards")
+    ordered.drop("payload").write.mode("errorifexists").parquet(f"{folder}/index")
+    return ordered.sparkSession.read.parquet(f"{folder}/index")
+
+
+def read_shards(spark: SparkSession, folder: str, length: int = SEQUENCE, width: int = 2, shard: int = SHARD) -> DataFrame:
+    """slot and payload of every record, by its place in its file."""
+    size = length * width
+    files = spark.read.format("binaryFile").load(f"{folder}/shards")
+    places = F.sequence(F.lit(0), (F.col("length") / (size + END)).cast("int") - 1)
+    cut = F.transform(places, lambda k: F.struct((F.col("shard").cast("long") * shard + k).alias("slot"), F.substring("content", k * (size + END) + 1, F.lit(size)).alias("payload")))
+    return files.select(F.explode(cut).alias("r")).select("r.*")
+
+
+def read_slot(spark: SparkSession, folder: str, slot: int, length: int = SEQUENCE, width: int = 2, shard: int = SHARD) -> np.ndarray:
+    """The ids of one slot, by one seek in its file."""
+    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/shards/shard={slot // shard}")
+    store = path.getFileSystem(hadoop)
+    (file,) = [f.getPath() for f in store.listStatus(path) if f.getPath().getName().startswith("part-")]
+    stream = store.open(file)
+    try:
+        stream.seek(slot % shard * (length * width + END))
+        raw = jvm.org.apache.commons.io.IOUtils.toByteArray(stream, length * width)
+    finally:
+        stream.close()
+    return np.frombuffer(bytes(raw), f"<u{width}")

@@ -81,8 +81,13 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return materialise.training_order(docs, tokenizer_path(), pad=END_OF_TEXT, key=20)
+    """Every slot of the shards that were written, with a digest of its ids as read back."""
+    path = tokenizer_path()
+    ordered = materialise.training_order(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pad=END_OF_TEXT, key=20)
+    folder = materialise.shared_folder(spark)
+    index = materialise.write_shards(ordered, folder)
+    read = materialise.read_shards(spark, folder, width=materialise.id_bytes(path))
+    return index.withColumnRenamed("docs", "doc_ids").join(read.select("slot", F.sha2("payload", 256).alias("payload_sha256")), "slot")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

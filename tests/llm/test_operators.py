@@ -1,7 +1,6 @@
 """The llm operators: odd inputs (nulls, empty and long texts, ties, repeats, clashing columns, empty tables), brute force and round trips."""
 
 import hashlib
-import os
 import re
 from collections import Counter
 
@@ -281,20 +280,35 @@ def test_training_order(spark, odd, docs, empty, tmp_path):
     both = docs.unionByName(odd.select(docs.columns))
     ordered = materialise.training_order(both, path, pad=49407, length=64, shard=100)
     rows = ordered.collect()
-    assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
+    assert sorted(r["slot"] for r in rows) == list(range(len(rows))) and all(r["shard"] == r["slot"] // 100 and r["place"] == r["slot"] % 100 for r in rows)
+    # Tokens without filler, and the documents of each sequence, are those of the library's encoding.
     want = Counter()
     for r in bpe.encode(both, path).collect():
-        ids = r["encoded"]["ids"]
-        want.update((r["doc_id"], i // 64, tuple(ids[i : i + 64])) for i in range(0, len(ids), 64))
-    assert Counter((r["doc_id"], r["part"], tuple(np.frombuffer(r["payload"], "<u2")[: r["n_tokens"]].tolist())) for r in rows) == want
+        want.update({r["doc_id"]: len(r["encoded"]["ids"]) + 1} if r["encoded"]["ids"] else {})
+    assert sum(r["n_tokens"] for r in rows) == sum(want.values())
+    assert {d for r in rows for d in r["docs"]} == set(want)
+    whole = {tuple(np.frombuffer(r["payload"], "<u2")[: r["n_tokens"]].tolist()) for r in rows if len(r["docs"]) == 1 and r["n_tokens"] == 64}
+    texts = [tuple(r["encoded"]["ids"]) for r in bpe.encode(both, path).collect()]
+    assert all(any(w == t[i : i + 64] for t in texts for i in range(len(t) - 63)) for w in list(whole)[:20] if 49407 not in w)
+    assert Counter(i for r in rows for i in np.frombuffer(r["payload"], "<u2")[: r["n_tokens"]].tolist()) == Counter(i for t in texts if t for i in (*t, 49407))
+
     folder = str(tmp_path / "shards")
-    files = materialise.write_shards(ordered, folder, length=64).collect()
-    assert sum(f["n_sequences"] for f in files) == len(rows) and not [f for f in os.listdir(folder) if f.startswith(".")]
+    index = materialise.write_shards(ordered, folder).collect()
+    assert {(r["slot"], tuple(r["docs"])) for r in index} == {(r["slot"], tuple(r["docs"])) for r in rows}
+    back = {r["slot"]: bytes(r["payload"]) for r in materialise.read_shards(spark, folder, length=64, shard=100).collect()}
+    assert back == {r["slot"]: bytes(r["payload"]) for r in rows}
     for r in rows[:: max(1, len(rows) // 20)]:
-        assert materialise.read_slot(folder, r["slot"], 64, 100).tobytes() == bytes(r["payload"])
+        assert materialise.read_slot(spark, folder, r["slot"], 64, 2, 100).tobytes() == bytes(r["payload"])
     assert materialise.training_order(empty, path, pad=0).count() == 0
 
 
+def test_training_order_query(spark, sf_dir):
+    rows = QUERIES["op8_training_order"](spark, sf_dir).collect()
+    assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
+    ordered = materialise.training_order(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path(), pad=49407, key=20).collect()
+    assert {r["slot"]: r["payload_sha256"] for r in rows} == {r["slot"]: hashlib.sha256(bytes(r["payload"])).hexdigest() for r in ordered}
+
+
 # --- 9
 
 

@@ -31,8 +31,8 @@ SCALE_FROM, SCALE_STEP, LONG = 32, 8, 512
 #: Probability of a character that no piece covers, and weight of a piece that was never expected.
 UNKNOWN, FLOOR = 1e-7, 0.05
 START = "▁"
-#: The table of words is emptied at so many words or characters; words are worked on in parts.
-TABLE_WORDS, TABLE_CHARS, PART_WORDS = 150_000, 8_000_000, 20_000
+#: The table of words is emptied at so many words or characters; words are worked on in parts of so many characters.
+TABLE_WORDS, TABLE_CHARS, PART_CHARS = 150_000, 8_000_000, 100_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 RUN = re.compile(r"[^\W\d_]+")
@@ -198,6 +198,12 @@ def piece_keys(path: str) -> Pieces:
     return Pieces({p for p in found if p == START or p.replace(START, "").isalpha()})
 
 
+def parts_of(items: list[int], sizes: list[int]) -> list[list[int]]:
+    """The items in parts of so many characters (one item at least), which bounds a lattice."""
+    place = np.cumsum(sizes) // PART_CHARS
+    return [x.tolist() for x in np.split(np.array(items, np.int64), np.flatnonzero(np.diff(place)) + 1) if len(x)]
+
+
 class Model:
     """langs, and by piece (the first stands for none) and language its probability."""
 
@@ -209,8 +215,8 @@ class Model:
         p[0] = 0
         for _ in range(ROUNDS if words else 0):
             uses = np.full_like(p, FLOOR)
-            for i in range(0, len(words), PART_WORDS):
-                uses += Lattice(keys, words[i : i + PART_WORDS]).expected(p, weight[i : i + PART_WORDS])
+            for part in parts_of(list(range(len(words))), list(map(len, words))):
+                uses += Lattice(keys, [words[i] for i in part]).expected(p, weight[part])
             uses[0] = 0
             p = uses / uses.sum(0)
         self.p = p
@@ -218,8 +224,7 @@ class Model:
     def scores(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.langs)))
         short = [i for i, w in enumerate(words) if len(w) <= LONG]
-        for s in range(0, len(short), PART_WORDS):
-            part = short[s : s + PART_WORDS]
+        for part in parts_of(short, [len(words[i]) for i in short]):
             out[part] = Lattice(self.keys, [words[i] for i in part]).likelihood(self.p)
         for i, w in enumerate(words):
             if len(w) > LONG:

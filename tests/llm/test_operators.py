@@ -2,17 +2,20 @@
 
 import hashlib
 import re
+import struct
 from collections import Counter
+from itertools import product
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessella.llm import bpe, chat, components, decontam, langid, materialise, quality_rules, simhash, toxicity, weaklabels
-from tessella.llm.queries import ORACLE_SQL, PIECES, QUERIES, tokenizer_path
+from tessella.llm.queries import ORACLE_SQL, PIECES, QUERIES, chat_rows, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "the quick brown fox " * 20_000
@@ -45,6 +48,33 @@ def test_chat_round_trip(text, role):
         assert chat.parse(rendered * 2) == [(role, t)] * 2
 
 
+def test_chat_escapes_every_border():
+    """All strings over the grammar's own tokens up to length 5, and a trailing header of every kind."""
+    tokens = ["\\", "### User:", "###", " ", "</turn>", "\n", "=", "x:", "### =a:"]
+    for k in range(6):
+        for parts in product(tokens, repeat=k):
+            text = "".join(parts)
+            rendered, start, _ = chat.render("user", text)
+            assert chat.parse(rendered) == [("user", text)]
+    for header in ("### System:", "### User:", "### Assistant:", "### Tool:", "### =x:", "### =:"):
+        for tail in ("", " ", "\\", "\n"):
+            for role in ("assistant", "", "a: b", "=", "\\", "### User:", "</turn>"):
+                text = f"Please continue after {header}{tail}"
+                assert chat.parse(chat.render(role, text)[0] * 2) == [(role, text)] * 2
+
+
+def test_chat_query_brute_force(spark, sf_dir):
+    """The whole table, digested from the source rows."""
+    rows = chat_rows(spark, sf_dir).toPandas()
+    want = {}
+    for conv, own in rows.sort_values(["conv_id", "turn"], kind="stable").groupby("conv_id"):
+        turns = [(r, t or "") for r, t in zip(own["role"], own["text"])]
+        said = "".join(t for r, t in turns if r == "assistant")
+        want[conv] = (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest())
+    got = QUERIES["op1_chat_format"](spark, sf_dir).collect()
+    assert {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in got} == want and -7 in want
+
+
 def test_chat_rows(spark):
     rows = [(1, 0, "user", None), (1, 1, "assistant", "</turn> ok"), (None, None, None, "x"), (1, 1, "assistant", "b"), (2, 0, "user", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
@@ -55,6 +85,8 @@ def test_chat_rows(spark):
     flip = "".join(f"{r}\n{t}\n" for r, t in (("user", ""), ("assistant", "b"), ("assistant", "</turn> ok")))
     assert got[1]["turns_sha256"] in {hashlib.sha256(x.encode()).hexdigest() for x in (want, flip)}
     assert chat.read_back(chat.format_turns(df.limit(0))).count() == 0
+    named = df.select(F.concat(F.lit("c"), F.coalesce("conv_id", F.lit(0))).alias("id"), "turn", "role", "text", F.lit(1).alias("rendered"), F.lit(2).alias("conv"))
+    assert {r["id"]: r["n_turns"] for r in chat.read_back(chat.format_turns(named, conv="id"), "id").collect()} == {"c1": 3, "c0": 1, "c2": 1}
 
 
 # --- 2
@@ -110,6 +142,33 @@ def test_rules_brute_force(spark, docs, odd, empty, sf_dir):
     assert quality_rules.rules(empty, trusted.limit(0)).count() == 0
 
 
+def buckets_of(text):
+    """The n-grams' buckets by an independent spelling of the hash: XXH64 with seed 42, chained over the words."""
+    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.split("[\x20\x09-\x0d]+", text or "") if w]
+    pairs = [xxhash.xxh64_intdigest(struct.pack("<Q", b), xxhash.xxh64_intdigest(struct.pack("<Q", a), 42)) for a, b in zip(hashes, hashes[1:])]
+    return [h % quality_rules.BUCKETS for h in [*hashes, *pairs]]
+
+
+@pytest.mark.parametrize("broadcast", [2_000_000, 0])
+def test_rules_ratio_brute_force(spark, docs, sf_dir, monkeypatch, broadcast):
+    monkeypatch.setattr(quality_rules, "BROADCAST_IDS", broadcast)
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
+    good = {r["doc_id"] for r in trusted.collect()}
+    rows = quality_rules.rules(docs.select("doc_id", "text"), trusted).collect()
+    raw, target = Counter(), Counter()
+    for r in rows:
+        own = buckets_of(r["text"])
+        raw.update(own)
+        target.update(own if r["doc_id"] in good else [])
+    n, m, k = sum(raw.values()), sum(target.values()), quality_rules.SMOOTHING
+    ratio = {b: np.log((target[b] + k) / (m * raw[b] / n + k)) for b in raw}
+    for r in rows:
+        own = buckets_of(r["text"])
+        want = sum(ratio[b] for b in own) / len(own) if own else 0.0
+        assert abs(r["quality"]["log_ratio"] - want) < 1e-9
+        assert r["quality"]["kept"] == (not r["quality"]["base_failed"] and want >= quality_rules.THRESHOLD) or abs(want - quality_rules.THRESHOLD) < 1e-9
+
+
 # --- 4
 
 
@@ -143,6 +202,34 @@ def test_simhash_links(spark, monkeypatch, bucket):
     assert {x: every[w] for x, w in zip(every, want) if groups[w] > 1} == {k: min(n for n, r in got.items() if r == v) for k, v in got.items()}
 
 
+def test_simhash_query_brute_force(spark, docs, sf_dir):
+    """Fingerprints from their definition, and components from all pairs, over the whole table."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    fps = {}
+    for r in docs.select("doc_id", "text").collect():
+        words = [w for w in re.split("[\x20\x09-\x0d]+", (r["text"] or "").translate(lower)) if w]
+        found = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+        hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in found]
+        fps[r["doc_id"]] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    keys = sorted(fps)
+    roots = brute_components(np.array([fps[k] for k in keys], np.uint64))
+    want = {k: (f"{fps[k]:016x}", keys[r]) for k, r in zip(keys, roots)}
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in QUERIES["op4_simhash"](spark, sf_dir).collect()} == want
+
+
+def test_simhash_limits(spark):
+    nodes = spark.createDataFrame([(1,), (2,)], "fp long")
+    with pytest.raises(ValueError):
+        simhash.links(nodes, 6)
+    rng = np.random.default_rng(4)
+    fps = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 30, dtype=np.int64)]
+    near = [int(np.int64(f) ^ np.int64(sum(1 << int(b) for b in rng.choice(62, k, replace=False)))) for f in fps[:8] for k in (3, 4, 5)]
+    every = sorted({*fps, *near})
+    got = components.components(simhash.links(spark.createDataFrame([(x,) for x in every], "fp long"), 4)).count()
+    u = np.array(every, np.int64).view(np.uint64)
+    assert got == sum(bool((np.bitwise_count(u ^ x) <= 4).sum() > 1) for x in u)
+
+
 def test_simhash_rows(spark, odd, empty):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == len(ODD)
@@ -178,18 +265,42 @@ def test_toxicity_learns_pairs():
         texts.append(np.array(sorted([*([10] if a else [11]), *([20] if b else [21]), *(100 + rng.choice(50, 5, replace=False))]), np.int32))
         labels.append(int(a == b))
     machine = toxicity.Machine(texts, np.array(labels))
-    assert len(machine.known) == 0  # no single term tells anything, so none is in the model by gain
-    toxicity_gain, toxicity.LEAST_GAIN = toxicity.LEAST_GAIN, -1
-    try:
-        machine = toxicity.Machine(texts, np.array(labels))
-    finally:
-        toxicity.LEAST_GAIN = toxicity_gain
+    assert {10, 11, 20, 21} <= set(machine.known.tolist())
     right = sum((machine.score(np.searchsorted(machine.known, np.intersect1d(t, machine.known))) > 0.5) == y for t, y in zip(texts, labels))
     assert right > 760
 
 
+def test_toxicity_query_brute_force(spark, docs, sf_dir):
+    """Scores of the whole table by a double loop over pairs, from the model alone."""
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    machine = toxicity.train(docs.where(~held_out), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    place = {int(h): i for i, h in enumerate(machine.known)}
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    for r in QUERIES["op5_toxicity"](spark, sf_dir).collect():
+        counts = Counter()
+        for word in re.findall(r"[^\W\d_]+", (texts[r["doc_id"]] or "").lower()):
+            counts.update({word} | {"^" + word[:n] for n in (4, 5, 6, 7) if len(word) > n})
+        hashed = Counter()
+        for term, n in counts.items():
+            hashed[xxhash.xxh32_intdigest(term) & 0x7FFFFFFF] += n
+        own = sorted({place[h] for h in hashed if h in place} | {place[h ^ 0x2AAAAAAA] for h, n in hashed.items() if n >= toxicity.OFTEN and h ^ 0x2AAAAAAA in place})
+        y = machine.bias + sum(machine.w[i] for i in own) + sum(float(machine.v[i] @ machine.v[j]) for n, i in enumerate(own) for j in own[:n])
+        assert abs(r["score"] - 1 / (1 + np.exp(-np.clip(y, -40, 40)))) < 1e-9 and r["predicted"] == (r["score"] >= 0.3)
+
+
+def test_toxicity_sample_ignores_dealing_and_copies(spark, docs, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    toxic = docs.join(labels.where("toxic = 1"), "doc_id").select("text").limit(1)
+    copies = spark.range(10**9, 10**9 + 3000).withColumnRenamed("id", "doc_id").crossJoin(toxic)
+    base = docs.select("doc_id", "text")
+    marked = labels.select("doc_id", "toxic").unionByName(copies.select("doc_id", F.lit(1).alias("toxic")))
+    models = [toxicity.train(d, x) for d, x in ((base, labels), (base.repartition(7), labels), (base.unionByName(copies), marked))]
+    for m in models[1:]:
+        assert (m.known == models[0].known).all() and (m.w == models[0].w).all()
+
+
 def test_toxicity_rows(spark, odd, empty):
-    rows = [(i, f"calm words number {i % 7} " + ("you stupid moron" if i % 4 == 0 else "")) for i in range(200)]
+    rows = [(i, f"calm words number {i} " + ("you stupid moron" if i % 4 == 0 else "")) for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
     machine = toxicity.train(docs, labels)
@@ -248,22 +359,100 @@ def test_language(spark, docs, odd, empty):
     assert {r["language"]["lang_pred"] for r in langid.identify(odd, langid.train(empty, tokenizer_path(PIECES))).collect()} == {"und"}
 
 
+TOY = ("▁", "▁a", "a", "ab", "b", "ba", "aabab")
+
+
+def toy():
+    """Pieces, their prices by id (two languages), and a brute-force sum over segmentations by recursion on the end."""
+    pieces = langid.Pieces(set(TOY))
+    at = {q: int(np.searchsorted(pieces.hashes, langid.piece_hash(q))) + 1 for q in TOY}
+    p = np.zeros((len(TOY) + 1, 2))
+    for i, q in enumerate(TOY):
+        p[at[q]] = 0.02 * (i + 1), 0.01 * (9 - i)
+
+    def log_sum(word, lang):
+        s = langid.START + word
+        log = [0.0] + [-np.inf] * len(s)
+        for j in range(1, len(s) + 1):
+            ways = [log[j - len(q)] + np.log(p[at[q], lang]) for q in TOY if s[:j].endswith(q)]
+            if s[j - 1] not in TOY:
+                ways.append(log[j - 1] + np.log(langid.UNKNOWN))
+            log[j] = np.logaddexp.reduce(ways)
+        return log[-1]
+
+    return pieces, p, log_sum
+
+
 def test_forward_sums_all_segmentations():
-    keys = {}
-    for p in ("▁", "▁a", "a", "ab", "b", "ba"):
-        h = np.zeros(1, np.uint64)
-        for c in p:
-            h = h * langid.BASE + np.uint64(ord(c))
-        keys[p] = langid._mix(h)[0]
-    order = sorted(keys, key=keys.get)
-    p = np.array([[0.0], *([0.1 * (i + 1)] for i in range(6))])
-    price = {q: p[order.index(q) + 1, 0] for q in order}
+    pieces, p, log_sum = toy()
+    price = {q: p[int(np.searchsorted(pieces.hashes, langid.piece_hash(q))) + 1, 0] for q in TOY}
 
     def total(s):
         return 1.0 if not s else sum(price[q] * total(s[len(q) :]) for q in price if s.startswith(q))
 
-    lattice = langid.Lattice(np.array([keys[q] for q in order], np.uint64), ["ab", "aba", "b"])
-    assert np.allclose(np.exp(lattice.likelihood(p)[:, 0]), [total("▁ab"), total("▁aba"), total("▁b")])
+    assert np.allclose(np.exp(langid.Lattice(pieces, ["ab", "aba", "b"]).likelihood(p)[:, 0]), [total("▁ab"), total("▁aba"), total("▁b")])
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abc"), n)) for n in (1, 5, 24, 31, 32, 33, 40, 60, 200, 511, 1500)]
+    got = langid.Lattice(pieces, words).likelihood(p)
+    for w, row in zip(words, got):
+        want = [log_sum(w, 0), log_sum(w, 1)]
+        assert np.allclose(row, want, rtol=1e-10) and np.allclose(langid.long_likelihood(pieces, p, w), want, rtol=1e-10)
+    whole = "ab" * 6000
+    assert np.allclose(langid.long_likelihood(pieces, p, whole), [log_sum(whole, 0), log_sum(whole, 1)], rtol=1e-10)
+
+
+def test_expected_uses_are_the_gradient():
+    """Expected uses of a piece are the derivative of the log-likelihood by the log of its price, long words included."""
+    pieces, p, _ = toy()
+    words = ["abab", "aabab" * 12, "cab" * 30]
+    weight = np.array([[1.0, 2.0], [3.0, 1.0], [0.5, 0.0]])
+    uses = langid.Lattice(pieces, words).expected(p, weight)
+    for i in range(1, len(p)):
+        step = p.copy()
+        step[i] *= np.exp(1e-6)
+        change = (langid.Lattice(pieces, words).likelihood(step) - langid.Lattice(pieces, words).likelihood(p)) / 1e-6
+        assert np.allclose(uses[i], (weight * change).sum(0), atol=1e-3)
+
+
+def test_language_sample_ignores_dealing_and_copies(spark, docs):
+    base = docs.select("doc_id", "text", "lang")
+    copies = base.where("lang is not null and char_length(text) between 100 and 2000").limit(1).crossJoin(spark.range(3000)).drop("id")
+    models = [langid.train(d, tokenizer_path(PIECES)) for d in (base, base.repartition(7), base.unionByName(copies))]
+    for m in models[1:]:
+        assert m.langs == models[0].langs and (m.p == models[0].p).all()
+
+
+def test_language_query_brute_force(spark, docs, sf_dir):
+    """Predictions of the whole table by a plain forward recursion over each word."""
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = langid.train(docs.where(~held_out), tokenizer_path(PIECES))
+    place = {int(h): i + 1 for i, h in enumerate(model.keys.hashes)}
+    seen = {}
+
+    def word_log(word):
+        if word not in seen:
+            s = langid.START + word
+            log = [np.zeros(len(model.langs))]
+            for j in range(1, len(s) + 1):
+                ways = []
+                for n in range(1, min(j, model.keys.most) + 1):
+                    own = place.get(int(langid.piece_hash(s[j - n : j])))
+                    if own is not None:
+                        ways.append(log[j - n] + np.log(model.p[own]))
+                    elif n == 1:
+                        ways.append(log[j - 1] + np.log(langid.UNKNOWN))
+                log.append(np.logaddexp.reduce(ways))
+            seen[word] = log[-1]
+        return seen[word]
+
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    for r in sorted(QUERIES["op7_language"](spark, sf_dir).collect(), key=lambda r: r["doc_id"]):
+        words = re.findall(r"[^\W\d_]+", (texts[r["doc_id"]] or "").lower())
+        if not words:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+        elif len(words) < 400:
+            own = sum(map(word_log, words))
+            assert r["lang_pred"] == model.langs[int(own.argmax())] and abs(r["score"] - 1 / np.exp(own - own.max()).sum()) < 1e-6
 
 
 # --- 8
@@ -323,6 +512,55 @@ def test_weak_labels(spark, docs, odd, empty, sf_dir):
     assert {r["quality_score"] for r in weaklabels.classify(odd, none).collect()} == {0.5}
 
 
+def test_weak_label_sample_ignores_dealing_and_copies(spark, docs):
+    base = docs.select("doc_id", "text")
+    _, one = weaklabels.train(base)
+    _, two = weaklabels.train(base.repartition(7))
+    assert (one.known == two.known).all() and (one.w == two.w).all()
+    copies = base.where("char_length(text) between 100 and 2000").limit(1).crossJoin(spark.range(3000)).drop("id")
+    hashed = base.unionByName(copies)
+    _, three = weaklabels.train(hashed)
+    assert (one.known == three.known).all()  # the counts of votes change, the texts that are learned from don't
+
+
+def test_weak_label_query_brute_force(spark, docs, sf_dir):
+    """Label model by a plain loop over classes, and scores of the whole table from terms spelled out."""
+    base = docs.select("doc_id", "text")
+    model, scorer = weaklabels.train(base)
+    place = {int(h): i for i, h in enumerate(scorer.known)}
+    texts = {r["doc_id"]: r["text"] or "" for r in base.collect()}
+
+    def shares(text):
+        words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
+        count = lambda f: sum(map(f, words)) / max(1, len(words))
+        windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+        return [
+            count(lambda w: bool(re.search(r"[#*$%&|<>]", w))), count(lambda w: w == "|"), count(lambda w: len(w) > 2 and w.isupper()), count(lambda w: "!" in w),
+            count(lambda w: not re.match(r"[^\W\d_]+[.,;:?!]?\Z", w)), 1 - len(set(windows)) / len(windows) if windows else 0.0,
+            sum(a == b for a, b in zip(words, words[1:])) / max(1, len(words)), 1 - len(set(lines)) / len(lines) if len(lines) >= 4 else 0.3,
+        ]
+
+    counts = Counter()
+    for text in texts.values():
+        own = zip(shares(text), weaklabels.LABELLERS.values())
+        counts["".join("0" if s >= bad else "1" if s <= good else "2" for s, (bad, good) in own) if text.split() else "2" * 8] += 1
+    assert counts == Counter(dict(zip(model.patterns, [counts[p] for p in model.patterns]))) and sum(counts.values()) == len(texts)
+    for pattern in model.patterns:
+        joint = [model.share[c] * np.prod([model.table[c][k][int(v)] for k, v in enumerate(pattern)]) for c in range(3)]
+        assert abs(model.posterior[pattern] - joint[0] / sum(joint)) < 1e-9
+
+    for r in QUERIES["op9_quality_classifier"](spark, sf_dir).collect():
+        text = texts[r["doc_id"]]
+        words = text.split()
+        y = scorer.bias + sum(scorer.w[place[x]] for x in (-1 - min(9, int(s * 10)) - 10 * k for k, s in enumerate(shares(text))) if x in place)
+        terms = Counter()
+        for w in words:
+            low = re.sub(r"(\W)\1+", r"\1", re.sub(r"\d+", "0", re.sub(r"[^\W\d_]+", lambda m: "A" if len(m[0]) > 1 and m[0].isupper() else "a", w)))
+            terms.update(xxhash.xxh32_intdigest(t) & 0x7FFFFFFF for t in (w.lower(), "^" + low))
+        y += sum(scorer.w[place[h]] * np.sqrt(n / len(words)) for h, n in terms.items() if h in place)
+        assert abs(r["score"] - 1 / (1 + np.exp(-np.clip(y, -40, 40)))) < 1e-6
+
+
 # --- pipeline
 
 
@@ -344,3 +582,61 @@ def test_pipeline(spark, sf_dir, odd, empty):
     for _, stage in pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
         stage(spark, odd, sf_dir).collect()
+
+
+INTERNAL = ["key", "text_hash", "w", "win", "items", "spans", "__key", "__hash", "__spans", "__root", "__least", "k0", "copies", "found", "one", "node", "fp", "near", "far", "th", "row", "own", "own_th", "root", "component_id", "h", "t", "kind", "pattern", "place", "__score", "__language", "__encoded", "mask", "value", "band", "label"]
+
+
+def test_clashing_names(spark, sf_dir):
+    """Columns with every name that is used inside pass through the filtering stages as they are."""
+    import corpus_pipeline as pipeline
+
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").limit(60)
+    docs = texts.select("*", *(F.lit(f"keep {c}").alias(c) for c in INTERNAL if not c.startswith("__s") and c != "__language"))
+    copies = docs.unionByName(docs.limit(5))
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    made = [decontam.decontaminate(copies, bench), decontam.decontaminate(copies, bench, remove="spans"), simhash.deduplicate(docs), simhash.deduplicate(copies)]
+    made += [stage(spark, copies, sf_dir) for name, stage in pipeline.STAGES[:4]]
+    for out in made:
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"keep {c}" for r in rows for c in docs.columns if c in INTERNAL)
+    hits = decontam.contamination(docs.withColumnRenamed("doc_id", "id.of"), bench, ("id.of",))
+    assert hits.columns[0] == "id.of" and hits.count() == 60
+    for bad in (lambda: decontam.contamination(docs, bench, ("spans",)), lambda: simhash.near_duplicates(docs, "fp")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_pipeline_stages_brute_force(spark, sf_dir):
+    """Each stage's rows against a plain version of its rule, on what the stage before kept."""
+    import corpus_pipeline as pipeline
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    library = Tokenizer.from_file(tokenizer_path())
+    for name, stage in pipeline.STAGES:
+        out = spark.read.parquet(materialise.stored(stage(spark, docs, sf_dir)))
+        before, after = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}, {r["doc_id"] for r in out.collect()}
+        if name == "language":
+            model = langid.train(docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2), tokenizer_path(PIECES))
+            words = {k: re.findall(r"[^\W\d_]+", (t or "").lower()) for k, t in before.items()}
+            want = set()
+            for k, own in words.items():
+                if own:
+                    log = model.scores(sorted(set(own)))
+                    each = dict(zip(sorted(set(own)), log))
+                    total = sum(each[w] for w in own)
+                    want |= {k} if 1 / np.exp(total - total.max()).sum() >= pipeline.LEAST_LANGUAGE else set()
+            assert after == want
+        if name == "decontamination":
+            word = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+            lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+            bench = [word.findall((r["text"] or "").translate(lower)) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+            wins = {tuple(w[i : i + 10]) for w in bench if w for i in range(max(1, len(w) - 9))}
+            sizes = {len(w) for w in wins}
+            hit = lambda t: any(tuple(w[i : i + n]) in wins for w in [word.findall((t or "").translate(lower))] for n in sizes for i in range(len(w) - n + 1))
+            assert after == {k for k, t in before.items() if not hit(t)}
+        if name == "encoding":
+            assert {r["doc_id"]: r["ids"] for r in out.collect()} == {k: library.encode(t or "", add_special_tokens=False).ids for k, t in before.items()}
+        docs = out

@@ -12,17 +12,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a written result that one task reads at least, where there are so many tasks.
+TASK_ROWS = 10_000
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage: written where all executors read it, so a lost one costs nothing.
 
     The folder is the session's spark.checkpoint.dir; only where that is unset, as in tests, one
-    in the warehouse is used.
+    in the warehouse is used.  A result of few rows is read by few tasks, however many wrote it: a
+    shuffle writes files for each of its tasks, and the rounds of a loop have many shuffles.
     """
     spark: SparkSession = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints-{uuid.uuid4().hex}")
-    return df.checkpoint()
+    done = df.checkpoint()
+    tasks = done._jdf.rdd().getNumPartitions()
+    wanted = -(-done.count() // TASK_ROWS) if tasks > 1 else tasks
+    return done.coalesce(max(1, wanted)) if wanted < tasks else done
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -62,6 +62,40 @@ def after_group(left: Column, group_right: Column, radius: int) -> Column:
     return left > group_right + radius
 
 
+def contains_on_strand(l1: Column, r1: Column, s1: Column, l2: Column, r2: Column, s2: Column) -> Column:
+    """The first interval holds the second, and their strands agree."""
+    return contains(l1, r1, l2, r2) & strands_agree(s1, s2)
+
+
+def overlaps_on_strand(l1: Column, r1: Column, s1: Column, l2: Column, r2: Column, s2: Column) -> Column:
+    return overlaps(l1, r1, l2, r2) & strands_agree(s1, s2)
+
+
+def overlaps_directed(l1: Column, r1: Column, s1: Column, l2: Column, r2: Column, s2: Column) -> Column:
+    """Overlap on one and the same strand; unknown is a strand of its own."""
+    return overlaps(l1, r1, l2, r2) & (s1 == s2)
+
+
+def equal_on_strand(l1: Column, r1: Column, s1: Column, l2: Column, r2: Column, s2: Column) -> Column:
+    return (l1 == l2) & (r1 == r2) & strands_agree(s1, s2)
+
+
+def match_length(left: Column, length: Column, start: Column, stop: Column) -> Column:
+    """Positions of a feature inside [start, stop), with the half-open reading of its right end.
+
+    A feature that goes on beyond ``stop`` counts up to it, one that ends within counts whole, or from ``start`` on.
+    """
+    end, inside = left + length, (left + length > start) & (left < stop)
+    within = end <= stop + 1
+    part = F.when(left > start, F.when(within, length).otherwise(stop - left)).otherwise(F.when(within, end - start).otherwise(stop - start))
+    return F.when(inside, part).otherwise(0)
+
+
+def near_group(left: Column, right: Column, group_left: Column, group_right: Column, radius: int) -> Column:
+    """Neither before the group nor after it."""
+    return ~before_group(left, right, group_left, radius) & ~after_group(left, group_right, radius)
+
+
 def merge_features(features: Column) -> Column:
     """Adjacent features of one code (right + 1 = next left) become one; the first's coverage stays.
 

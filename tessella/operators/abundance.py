@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.stats import normal_pdf
@@ -29,80 +31,170 @@ def insert_density(wanted: DataFrame, sizes: DataFrame, length: str = "len") ->
     return own.withColumn("density", F.coalesce(F.nullif("p", F.lit(0.0)), normal_pdf(F.col(length), F.col("mean"), F.col("sd")))).drop("p", "mean", "sd")
 
 
-def effective_length(segments: list[int], implicit: set[int], fragment: int, read: int) -> int:
-    """Start positions of a fragment that touches the first and the last segment, where its two reads
-    hit exactly the segments that aren't ``implicit`` (indices of segments that no read hits).
+def effective_lengths(segments: list[int], implicit: set[int], fragments: np.ndarray, read: int) -> np.ndarray:
+    """For each fragment length, the start positions of a fragment that touches the first and the last segment,
+    where its two reads hit exactly the segments that aren't ``implicit`` (indices of segments that no read hits).
 
     A single segment has all its positions.
     """
-    n = len(segments)
+    n, fragments = len(segments), np.asarray(fragments)
     if n == 1:
-        return segments[0] - fragment + 1
-    inner = sum(segments[1:-1])
-    first = np.arange(1, segments[0] + 1)  # bases in the first segment
-    last = fragment - first - inner
-    ok = (last >= 1) & (last <= segments[-1])
+        return np.maximum(segments[0] - fragments + 1, 0)
+    inner, found = sum(segments[1:-1]), np.zeros(len(fragments), np.int64)
     edges = np.concatenate([[0], np.cumsum(segments[1:-1])])
-    for k in range(1, n - 1):
-        hit = (read - first > edges[k - 1]) | (read - last > inner - edges[k])
-        ok &= hit == (k not in implicit)
-    return int(ok.sum())
+    for start in range(1, segments[0] + 1, 4096):
+        first = np.arange(start, min(segments[0] + 1, start + 4096))[:, None]  # bases in the first segment
+        last = fragments[None, :] - first - inner
+        ok = (last >= 1) & (last <= segments[-1])
+        for k in range(1, n - 1):
+            hit = (read - first > edges[k - 1]) | (read - last > inner - edges[k])
+            ok &= hit == (k not in implicit)
+        found += ok.sum(0)
+    return found
+
+
+def effective_length(segments: list[int], implicit: set[int], fragment: int, read: int) -> int:
+    return int(effective_lengths(segments, implicit, np.array([fragment]), read)[0])
+
+
+def bin_weight(segments: list[int], implicit: set[int], length: int, read: int, density: np.ndarray, least: int | None = None) -> float:
+    """Chance of a fragment of an isoform of that length in the bin, over all fragment lengths from ``least`` (the read's).
+
+    density: by fragment length, from 0; lengths beyond it have none.
+    """
+    low = max(read if least is None else least, sum(segments[1:-1]) if len(segments) > 2 else 0)
+    sizes = np.arange(low, min(sum(segments), length, len(density) - 1) + 1)
+    if not len(sizes):
+        return 0.0
+    return float((density[sizes] * effective_lengths(segments, implicit, sizes, read) / (length - sizes + 1)).sum())
+
+
+def bin_weights(lengths: Column, implicit: Column, length: Column, read: int, density: np.ndarray, least: int | None = None) -> Column:
+    """``bin_weight`` of columns: segment lengths, implicit indices and isoform length."""
+
+    @F.pandas_udf("double")
+    def run(segments: pd.Series, hidden: pd.Series, whole: pd.Series) -> pd.Series:
+        return pd.Series([bin_weight(list(map(int, s)), set(map(int, h)), int(n), read, density, least) for s, h, n in zip(segments, hidden, whole)], dtype=float)
 
+    return run(lengths, implicit, length)
 
-def bin_weight(segments: list[int], implicit: set[int], length: int, read: int, density: dict[int, float]) -> float:
-    """Chance of a fragment of an isoform of that length in the bin, over all fragment lengths."""
-    low = max([read, sum(segments[1:-1])] if len(segments) > 2 else [read])
-    return sum(density.get(f, 0.0) * max(0, effective_length(segments, implicit, f, read)) / (length - f + 1) for f in range(low, sum(segments) + 1) if length - f + 1 > 0)
+
+def under_isoform(isoform: Column, touched: Column) -> Column:
+    """struct(lengths, implicit): the isoform's segments from the first touched one to the last, and which aren't touched.
+
+    Both are arrays of struct<left,right>, in order.
+    """
+    inside = F.filter(isoform, lambda s: (s["left"] >= touched[0]["left"]) & (s["left"] <= F.element_at(touched, -1)["left"]))
+    hidden = F.filter(F.transform(inside, lambda s, i: F.when(~F.array_contains(touched, s), i)), lambda i: i.isNotNull())
+    return F.struct(F.transform(inside, lambda s: s["right"] - s["left"] + 1).alias("lengths"), hidden.alias("implicit"))
+
+
+def density_of(sizes: DataFrame, most: int | None = None) -> np.ndarray:
+    """The density of every fragment length from 0 on, from ``insert_sizes`` (a row for each length, at most 1,000,000)."""
+    rows = sizes.select("len", "p", "mean", "sd").toPandas()
+    if not len(rows):
+        return np.zeros(1)
+    mean, sd = float(rows["mean"].iat[0]), float(rows["sd"].iat[0])
+    out = normal_density(mean, sd, most or int(max(rows["len"].max(), mean + 6 * sd)))
+    seen = rows[(rows["len"] < len(out)) & (rows["p"] > 0)]
+    out[seen["len"].to_numpy(int)] = seen["p"].to_numpy(float)
+    return out
+
+
+def normal_density(mean: float, sd: float, most: int) -> np.ndarray:
+    x = np.arange(most + 1)
+    return np.exp(-(((x - mean) / sd) ** 2) / 2) / (sd * np.sqrt(2 * np.pi)) if sd > 0 else (x == round(mean)).astype(float)
 
 
 def em(counts: np.ndarray, weights: np.ndarray) -> np.ndarray | None:
-    """Reads of each isoform, from reads by bin and weights by bin and isoform.
+    """Reads of each isoform of one locus, from reads by bin and weights by bin and isoform.  None if no bin tells anything."""
+    bin_of, isoform_of = np.nonzero(weights)
+    n, m = weights.shape
+    theta, told = em_many(np.asarray(counts, float), bin_of, isoform_of, weights[bin_of, isoform_of].astype(float), np.zeros(n, int), np.zeros(m, int))
+    return theta if told[0] else None
+
+
+def em_many(counts: np.ndarray, bin_of: np.ndarray, isoform_of: np.ndarray, weights: np.ndarray, bin_locus: np.ndarray, isoform_locus: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Reads of each isoform of many loci at once, and whether a locus had anything to go by.
 
-    Weights are scaled anew by column in every round, and the round before the one that moves
-    less than ``TOLERANCE`` is returned.  None if no bin tells anything.
+    Weights are given in sparse form (bin_of, isoform_of, weights), bins and isoforms by their loci.  Weights
+    are scaled anew by column in every round, and the round before the one that moves a locus less than
+    ``TOLERANCE`` is returned for it.  Loci without a telling bin share their reads evenly.
     """
     counts = np.floor(counts)
-    theta = np.full(weights.shape[1], counts.sum() / max(1, weights.shape[1]))
-    keep = (weights > LEAST_WEIGHT).any(1)
-    u, f = counts[keep], weights[keep].astype(float)
-    if not len(u):
-        return None
+    loci = int(max(bin_locus.max(initial=-1), isoform_locus.max(initial=-1))) + 1
+    per = np.maximum(np.bincount(isoform_locus, minlength=loci), 1)
+    theta = (np.bincount(bin_locus, counts, loci) / per)[isoform_locus]
+    telling = np.zeros(len(counts), bool)
+    telling[bin_of[weights > LEAST_WEIGHT]] = True
+    told = np.bincount(bin_locus, telling, loci) > 0
+    own = telling[bin_of]
+    b, i, f = bin_of[own], isoform_of[own], weights[own].astype(float)
+    active = told.copy()
     for _ in range(MOST_ROUNDS):
-        share = f * theta
-        total = share.sum(1, keepdims=True)
-        if (total == 0).any():
-            return None
-        new = (u[:, None] * share / total).sum(0)
-        f = np.divide(f, f.sum(0), out=np.zeros_like(f), where=f.sum(0) > 0)
-        if np.sqrt(((new - theta) ** 2).sum()) < TOLERANCE:
-            return theta
-        theta = new
-    return theta
+        live = active[isoform_locus[i]]
+        if not live.any():
+            break
+        if not live.all():
+            b, i, f = b[live], i[live], f[live]
+        share = f * theta[i]
+        total = np.bincount(b, share, len(counts))
+        empty = telling & active[bin_locus] & (total == 0)
+        if empty.any():
+            lost = np.zeros(loci, bool)
+            lost[bin_locus[empty]] = True
+            told &= ~lost
+            active &= ~lost
+        new = np.bincount(i, counts[b] * np.divide(share, total[b], out=np.zeros_like(share), where=total[b] > 0), len(theta))
+        column = np.bincount(i, f, len(theta))
+        f = np.divide(f, column[i], out=np.zeros_like(f), where=column[i] > 0)
+        moving = active[isoform_locus]
+        moved = np.sqrt(np.bincount(isoform_locus, np.where(moving, new - theta, 0.0) ** 2, loci))
+        active &= moved >= TOLERANCE
+        theta = np.where(active[isoform_locus], new, theta)
+    return theta, told
 
 
 def em_abundance(bins: DataFrame) -> DataFrame:
     """theta by locus and isoform.  bins: locus, bin, n, isoform, weight (long form, any order).
 
-    A locus is one group of a grouped function; a locus where EM has nothing to go by shares its reads evenly.
+    A task works on the whole loci of a batch at once.  A locus where EM has nothing to go by shares its reads evenly.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="bin", columns="isoform", values="weight", aggfunc="sum", fill_value=0.0)
-        n = pdf.groupby("bin")["n"].first().reindex(wide.index).to_numpy(float)
-        theta = em(n, wide.to_numpy(float))
-        if theta is None:
-            theta = np.full(wide.shape[1], np.floor(n).sum() / max(1, wide.shape[1]))
-        return pd.DataFrame({"locus": pdf["locus"].iat[0], "isoform": wide.columns.astype("int64"), "theta": theta})
-
-    return bins.groupBy("locus").applyInPandas(run, "locus long, isoform long, theta double")
-
-
-def normalise(df: DataFrame, locus: str, theta: str, length: str, least_fraction: float = 0.0) -> DataFrame:
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.groupby(["locus", "bin", "isoform"], as_index=False, sort=False).agg(n=("n", "first"), weight=("weight", "sum"))
+        locus, names = pd.factorize(rows["locus"])
+        bin_of, bins_ = pd.MultiIndex.from_arrays([locus, rows["bin"]]).factorize()
+        isoform_of, isoforms = pd.MultiIndex.from_arrays([locus, rows["isoform"]]).factorize()
+        counts = np.zeros(len(bins_))
+        counts[bin_of] = rows["n"].to_numpy(float)
+        of = lambda index: index.get_level_values(0).to_numpy(int)
+        theta, _ = em_many(counts, bin_of, isoform_of, rows["weight"].to_numpy(float), of(bins_), of(isoforms))
+        return pd.DataFrame({"locus": np.asarray(names)[of(isoforms)], "isoform": isoforms.get_level_values(1).astype("int64"), "theta": theta})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: list[pd.DataFrame] = []
+        for batch in batches:
+            cut = int(np.argmax(batch["locus"].to_numpy() == batch["locus"].iat[-1])) if len(batch) else 0
+            if len(batch) and (cut or (rest and rest[-1]["locus"].iat[-1] != batch["locus"].iat[-1])):
+                yield work(pd.concat([*rest, batch.iloc[:cut]], ignore_index=True))
+                rest = []
+            if len(batch):
+                rest.append(batch.iloc[cut:])
+        if rest:
+            yield work(pd.concat(rest, ignore_index=True))
+
+    dealt = bins.select(F.col("locus").cast("long").alias("locus"), "bin", "n", "isoform", "weight").repartition("locus").sortWithinPartitions("locus")
+    return dealt.mapInPandas(run, "locus long, isoform long, theta double")
+
+
+def normalise(df: DataFrame, locus: str, theta: str, length: str, least_fraction: float = 0.0, mapped: DataFrame | None = None) -> DataFrame:
     """fpkm, frac (of the locus) and tpm; isoforms below the fraction go, and others keep theirs.
 
-    Totals over everything are one row, broadcast; a window over all rows would be one task.
+    mapped: one row with one column, the reads of everything; else the sum of ``theta``.  Totals over
+    everything are one row, broadcast; a window over all rows would be one task.
     """
-    total = F.broadcast(df.agg(F.sum(theta).alias("__all")))
+    total = F.broadcast(df.agg(F.sum(theta).alias("__all")) if mapped is None else mapped.toDF("__all"))
     fpkm = df.join(total).withColumn("fpkm", F.col(theta) * 1e6 / F.col("__all") * 1e3 / F.col(length)).drop("__all")
     frac = fpkm.withColumn("frac", F.col("fpkm") / F.sum("fpkm").over(Window.partitionBy(locus))).where(F.col("frac") >= least_fraction)
     sums = F.broadcast(frac.agg(F.sum("fpkm").alias("__all")))

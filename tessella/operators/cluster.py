@@ -45,12 +45,28 @@ def gap_cluster(df: DataFrame, group: list[str], key: str, left: str = "left", r
     return rows.drop("__block", "__reach", "__starts")
 
 
+def before_starts(df: DataFrame, starts: DataFrame, group: list[str], key: str, left: str = "left", out: str = "after") -> DataFrame:
+    """``df`` with ``out``, how many rows of ``starts`` have their left end at or before the row's."""
+    marks = starts.select(*group, F.col("left").alias("__at"), F.lit(1).alias("__mark"), F.lit(None).cast(df.schema[key].dataType).alias(key))
+    rows = df.withColumn("__at", F.col(left)).withColumn("__mark", F.lit(0)).unionByName(marks, allowMissingColumns=True)
+    rows = rows.withColumn("__block", F.floor(F.col("__at") / BLOCK)).withColumn("__order", -F.col("__mark"))
+    counted = _running(rows, group, ["__at", "__order", key], F.col("__mark"), "sum", out, inclusive=True)
+    return counted.where("__mark = 0").drop("__at", "__mark", "__block", "__order")
+
+
 def gap_cluster_session(df: DataFrame, group: list[str], left: str = "left", right: str = "right", gap: int = GAP) -> DataFrame:
-    """Clusters as session windows whose gap is a row's length and ``gap`` more: bounds and counts."""
+    """Clusters as session windows whose gap is a row's length and ``gap`` more: bounds and counts.
+
+    Sessions are first made of the rows of a block of positions, so that a long group is many tasks' work;
+    the few sessions of the blocks are then merged in the same way.
+    """
     seconds = (F.col(right) - F.col(left) + gap).cast("string")
     # Sessions merge where the next start is not beyond the end, so positions stand for seconds.
     session = F.session_window(F.timestamp_seconds(F.col(left)), F.concat(seconds, F.lit(" seconds")))
-    return df.groupBy(*group, session.alias("s")).agg(F.min(left).alias("left"), F.max(right).alias("right"), F.count("*").alias("n_rows")).drop("s")
+    within = df.groupBy(*group, F.floor(F.col(left) / BLOCK).alias("__block"), session.alias("s")).agg(F.min(left).alias("left"), F.max(right).alias("right"), F.count("*").alias("n_rows"))
+    length = (F.col("right") - F.col("left") + gap).cast("string")
+    again = F.session_window(F.timestamp_seconds(F.col("left")), F.concat(length, F.lit(" seconds")))
+    return within.drop("s", "__block").groupBy(*group, again.alias("s")).agg(F.min("left").alias("left"), F.max("right").alias("right"), F.sum("n_rows").alias("n_rows")).drop("s")
 
 
 def cluster_bounds(clustered: DataFrame, group: list[str], left: str = "left", right: str = "right", cluster: str = "cluster") -> DataFrame:

@@ -20,27 +20,49 @@ def junction_counts(introns: DataFrame, group: list[str], mass: str = "mass", sm
     return introns.groupBy(*group, "left", "right").agg(*agg)
 
 
+def locus_strand(introns: DataFrame, group: list[str], mass: str = "mass", fraction: float = FRACTION) -> DataFrame:
+    """n_plus, n_minus, the strand of the best supported junction (+ on a tie), and whether both strands are seen.
+
+    introns: group, strand, left, right, mass; both are seen if the lesser has more than a fraction of the other's, whole.
+    """
+    each = introns.groupBy(*group, "strand", "left", "right").agg(F.sum(mass).alias("n")).where(F.col("strand").isin("+", "-"))
+    of = lambda sign: F.coalesce(F.sum(F.when(F.col("strand") == sign, F.col("n"))), F.lit(0))
+    rows = each.groupBy(*group).agg(of("+").alias("n_plus"), of("-").alias("n_minus"), F.max_by("strand", F.struct("n", (F.col("strand") == "+").alias("plus"))).alias("strand"))
+    few, many = F.least("n_plus", "n_minus"), F.greatest("n_plus", "n_minus")
+    return rows.withColumn("both_strands", few > F.floor(many * F.lit(fraction)))
+
+
 def drop_dominated(junctions: DataFrame, group: list[str], fraction: float = FRACTION, reads: str = "n_reads", bin_width: int = 10_000) -> DataFrame:
     """Junctions without those that an overlapping one dominates.
 
     Of two that overlap the lesser (the earlier on a tie) goes if its share of both is below the
-    fraction, or ten times that if they overlap in part.
+    fraction, or ten times that if they overlap in part.  What dominates has at least so many times the
+    reads, so junctions meet only those of larger powers of that ratio, and equal ones never do.
     """
     from tessella.operators.joins import interval_join
 
-    pairs = interval_join(junctions, junctions, group, bin_width=bin_width).where("(left < b_left) or (left = b_left and right < b_right)")
+    most = fraction * PARTIAL
+    if most >= 0.5:  # then even equals may dominate each other
+        weak, strong, times = junctions, junctions, 0.0
+    else:
+        times = (1 - most) / most if most > 0 else float("inf")
+        top = junctions.groupBy(*group).agg((F.max(reads) / F.lit(times)).alias("__top"))
+        low = junctions.groupBy(*group).agg((F.min(reads) * F.lit(times)).alias("__low"))
+        weak = junctions.join(top, group).where(F.col(reads) <= F.col("__top")).drop("__top")
+        strong = junctions.join(low, group).where(F.col(reads) >= F.col("__low")).drop("__low")
+    pairs = interval_join(weak, strong, group, bin_width=bin_width).where((F.col(reads) * times <= F.col(f"b_{reads}")) & ~((F.col("left") == F.col("b_left")) & (F.col("right") == F.col("b_right"))))
     nested = ((F.col("left") <= F.col("b_left")) & (F.col("b_right") <= F.col("right"))) | ((F.col("b_left") <= F.col("left")) & (F.col("right") <= F.col("b_right")))
-    share = F.least(reads, f"b_{reads}") / (F.col(reads) + F.col(f"b_{reads}"))
-    weak = pairs.where(share < fraction * F.when(nested, NESTED).otherwise(PARTIAL))
-    first = F.col(reads) <= F.col(f"b_{reads}")
-    lost = weak.select(*group, F.when(first, F.col("left")).otherwise(F.col("b_left")).alias("left"), F.when(first, F.col("right")).otherwise(F.col("b_right")).alias("right")).distinct()
+    earlier = (F.col("left") < F.col("b_left")) | ((F.col("left") == F.col("b_left")) & (F.col("right") < F.col("b_right")))
+    lesser = (F.col(reads) < F.col(f"b_{reads}")) | ((F.col(reads) == F.col(f"b_{reads}")) & earlier)
+    share = F.col(reads) / (F.col(reads) + F.col(f"b_{reads}"))
+    lost = pairs.where(lesser & (share < fraction * F.when(nested, NESTED).otherwise(PARTIAL))).select(*group, "left", "right").distinct()
     return junctions.join(lost, [*group, "left", "right"], "left_anti")
 
 
-def supported(reads: Column, left: Column, right: Column, small: Column | None = None) -> Column:
+def supported(reads: Column, left: Column, right: Column, small: Column | None = None, least: float = LEAST_READS) -> Column:
     """Enough reads, more of them over a long junction, and not all by small anchors."""
-    long = right - left + 1 > LONG
-    enough = (reads >= LEAST_READS) & ~(long & (reads < LEAST_LONG_READS))
+    long = right - left > LONG
+    enough = (reads >= least) & ~(long & (reads < LEAST_LONG_READS))
     return enough if small is None else enough & (small < reads)
 
 
@@ -50,6 +72,25 @@ def anchors_by_chance(reads: Column, small: Column, anchor: int, read_length: in
     return 1 - normal_cdf((small - 0.5 - reads * p) / F.sqrt(reads * (p * (1 - p))))
 
 
+def anchored_enough(reads: Column, small: Column, anchor: int, read_length: int, alpha: float) -> Column:
+    """Not all reads by small anchors, and no more of those than chance allows (with an alpha of 0 always)."""
+    sound = small < reads
+    if alpha <= 0 or not 0 < 2 * anchor < read_length:
+        return sound
+    return sound & ((small < 1) | (anchors_by_chance(reads, small, anchor, read_length) >= alpha))
+
+
+def inner_depth(junctions: DataFrame, runs: DataFrame, group: list[str], out: str, bin_width: int = 10_000) -> DataFrame:
+    """``junctions`` with ``out``, the summed depth of ``runs`` (left, right, depth) over all but their last position."""
+    from tessella.operators.joins import interval_join
+
+    spans = junctions.select(*group, "left", F.col("right").alias("__stop"), (F.col("right") - 1).alias("right"))
+    pairs = interval_join(spans, runs.select(*group, "left", "right", "depth"), group, bin_width=bin_width)
+    shared = F.least("right", "b_right") - F.greatest("left", "b_left") + 1
+    sums = pairs.groupBy(*group, "left", F.col("__stop").alias("right")).agg(F.sum(shared * F.col("b_depth").cast("double")).alias(out))
+    return junctions.join(sums, [*group, "left", "right"], "left").fillna(0.0, [out])
+
+
 def deep_enough(df: DataFrame, intron_depth: str, exon_depth: str, fraction: float = FRACTION) -> DataFrame:
     """Junctions whose inside isn't covered so deeply by exonic reads that they are doubtful."""
     return df.where((F.col(exon_depth) == 0) | (F.col(intron_depth) / F.col(exon_depth) >= fraction))

@@ -2,33 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions import cigar, intervals, sequences, stats, strings
-from tessella.operators import abundance, cluster, introns, joins, ranges, splice
-from tessella.plans.views import EXONS, MATES, READS, exons, mates, reads, table
+from tessella.functions import cigar, intervals, sequences, strings
+from tessella.operators import abundance, cluster, fragments, introns, joins, numbering, ranges
+from tessella.plans.registry import ORACLE_SQL, QUERIES, query
+from tessella.plans.views import BLOCKS, EXONS, MATES, READS, blocks, exons, mates, reads, table
+from tessella.session import settled
 from tessella.sources import gtf
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, *views: str):
-    """Register a query, with its SQL after the named views."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = (f"WITH {', '.join(views)} " if views and not sql.lstrip().startswith(",") else f"WITH {', '.join(views)}" if views else "") + sql
-        return f
-
-    return add
-
-
 CLUSTERED = """, r AS (SELECT *, max("right") OVER (PARTITION BY ref ORDER BY "left", "right", id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM reads),
 c AS (SELECT *, sum(CASE WHEN reach IS NULL OR "left" > reach + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY ref ORDER BY "left", "right", id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cluster FROM r)
 """
@@ -166,59 +149,45 @@ k AS (SELECT DISTINCT locus, CASE WHEN n_reads <= bn THEN "left" ELSE bl END AS
 WHERE least(n_reads, bn) / (n_reads + bn) < 0.04 * CASE WHEN ("left" <= bl AND br <= "right") OR (bl <= "left" AND "right" <= br) THEN 1 ELSE 10 END)
 SELECT locus, "left", "right", n_reads, n_small FROM n ANTI JOIN k USING (locus, "left", "right")""", EXONS)
 def intron_overlap_filter(spark, sf_dir):
-    return introns.drop_dominated(_junctions(spark, sf_dir), ["locus"], fraction=0.04, bin_width=1000)
+    return introns.drop_dominated(settled(_junctions(spark, sf_dir)), ["locus"], fraction=0.04, bin_width=1000)
 
 
-@query(JUNCTIONS + """SELECT * FROM n WHERE n_reads >= 2 AND NOT ("right" - "left" + 1 > 30000 AND n_reads < 5) AND n_small < n_reads""", EXONS)
+@query(JUNCTIONS + """SELECT * FROM n WHERE n_reads >= 2 AND NOT ("right" - "left" > 30000 AND n_reads < 5) AND n_small < n_reads""", EXONS)
 def intron_support_filters(spark, sf_dir):
     return _junctions(spark, sf_dir).where(introns.supported(F.col("n_reads"), F.col("left"), F.col("right"), F.col("n_small")))
 
 
-@query(INTRONS + """, x AS (SELECT * FROM exons WHERE transcript % 3 <> 0), y AS (SELECT DISTINCT locus, "left", "right" FROM j)
-SELECT * FROM y WHERE EXISTS (SELECT 1 FROM x WHERE x.locus = y.locus AND x."right" + 1 = y."left") AND EXISTS (SELECT 1 FROM x WHERE x.locus = y.locus AND x."left" - 1 = y."right")""", EXONS)
+@query(JUNCTIONS + """SELECT "locus", "left", "right" FROM n WHERE EXISTS (SELECT 1 FROM exons x WHERE x.locus = n.locus AND x."right" + 1 = n."left") AND EXISTS (SELECT 1 FROM exons x WHERE x.locus = n.locus AND x."left" - 1 = n."right")""", EXONS)
 def intron_exon_semi(spark, sf_dir):
-    e = exons(spark, sf_dir)
-    return introns.beside_exons(ranges.introns(e, ["locus", "transcript"]).drop("transcript").distinct(), e.where("transcript % 3 <> 0"), ["locus"])
+    """Rough junctions that happen to touch an exon on both sides."""
+    return introns.beside_exons(_junctions(spark, sf_dir).select("locus", "left", "right"), exons(spark, sf_dir), ["locus"])
 
 
-@query(INTRONS + """, y AS (SELECT * FROM j WHERE transcript % 2 = 0)
-SELECT locus, transcript, "left", "right" FROM exons x WHERE NOT EXISTS (SELECT 1 FROM y WHERE x.locus = y.locus AND x."right" + 1 = y."left") AND NOT EXISTS (SELECT 1 FROM y WHERE x.locus = y.locus AND x."left" - 1 = y."right")""", EXONS)
+@query(JUNCTIONS + """SELECT locus, transcript, "left", "right" FROM exons x WHERE NOT EXISTS (SELECT 1 FROM n WHERE x.locus = n.locus AND x."right" + 1 = n."left") AND NOT EXISTS (SELECT 1 FROM n WHERE x.locus = n.locus AND x."left" - 1 = n."right")""", EXONS)
 def exon_without_junction(spark, sf_dir):
-    e = exons(spark, sf_dir)
-    return introns.unsupported_exons(e, ranges.introns(e, ["locus", "transcript"]).where("transcript % 2 = 0"), ["locus"]).select("locus", "transcript", "left", "right")
-
-
-def _blocks(spark, sf_dir) -> DataFrame:
-    """Order lines as reads of one block, each inside a locus."""
-    line = table(spark, sf_dir, "lineitem")
-    left = F.col("l_linenumber").cast("long") * 1000 + F.col("l_suppkey") % 500
-    return line.where("l_quantity <= 10").select((F.col("l_orderkey") % 500).alias("locus"), left.alias("left"), (left + 4).alias("right")).distinct()
-
-
-BLOCKS = """, b AS (SELECT DISTINCT l_orderkey % 500 AS locus, l_linenumber::BIGINT * 1000 + l_suppkey % 500 AS "left", l_linenumber::BIGINT * 1000 + l_suppkey % 500 + 4 AS "right" FROM lineitem WHERE l_quantity <= 10)
-"""
+    return introns.unsupported_exons(exons(spark, sf_dir), _junctions(spark, sf_dir), ["locus"]).select("locus", "transcript", "left", "right")
 
 
-@query(BLOCKS + """SELECT b.locus, b."left", min(transcript) AS transcript FROM b JOIN exons x ON b.locus = x.locus AND x."left" <= b."left" AND b."right" <= x."right" GROUP BY b.locus, b."left" HAVING count(DISTINCT transcript) = 1""", EXONS)
+@query(BLOCKS + """SELECT b.locus, b."left", min(transcript) AS transcript, min(n) AS n FROM b JOIN exons x ON b.locus = x.locus AND x."left" <= b."left" AND b."right" <= x."right" GROUP BY b.locus, b."left" HAVING count(DISTINCT transcript) = 1""", EXONS)
 def compatible_unique(spark, sf_dir):
-    pairs = joins.interval_join(exons(spark, sf_dir), _blocks(spark, sf_dir), ["locus"], predicate="contain", bin_width=100)
-    return pairs.groupBy("locus", F.col("b_left").alias("left")).agg(F.min("transcript").alias("transcript"), F.count_distinct("transcript").alias("n")).where("n = 1").drop("n")
+    pairs = joins.interval_join(exons(spark, sf_dir), blocks(spark, sf_dir), ["locus"], predicate="contain", bin_width=100)
+    return pairs.groupBy("locus", F.col("b_left").alias("left")).agg(F.min("transcript").alias("transcript"), F.min("b_n").alias("n"), F.count_distinct("transcript").alias("k")).where("k = 1").drop("k")
 
 
 @query(BLOCKS + """SELECT b.locus, b."left", x.transcript, sum(least(b."right" + 40, x."right") - greatest(b."left", x."left") + 1)::BIGINT AS len FROM b JOIN exons x ON b.locus = x.locus AND x."left" <= b."right" + 40 AND b."left" <= x."right" GROUP BY ALL""", EXONS)
 def exonic_fragment_length(spark, sf_dir):
-    wide = _blocks(spark, sf_dir).withColumn("right", F.col("right") + 40)
+    wide = blocks(spark, sf_dir).withColumn("right", F.col("right") + 40)
     pairs = joins.interval_join(wide, exons(spark, sf_dir), ["locus"], bin_width=100)
     return pairs.groupBy("locus", "left", F.col("b_transcript").alias("transcript")).agg(F.sum(intervals.overlap_length(*(F.col(c) for c in ("left", "right", "b_left", "b_right")))).alias("len"))
 
 
-@query(BLOCKS + """, p AS (SELECT b.locus, b."left" AS spot, x."left", x."right" FROM b JOIN exons x ON b.locus = x.locus AND x."left" <= b."right" AND b."left" <= x."right"),
-k AS (SELECT locus, spot, array_to_string(list_sort(list(DISTINCT "left" || '-' || "right")), ',') AS segments FROM p GROUP BY locus, spot)
-SELECT locus, segments, count(*) AS n_reads FROM k GROUP BY locus, segments""", EXONS)
+@query(BLOCKS + """, p AS (SELECT b.locus, b."left" AS spot, b.n, x."left", x."right" FROM b JOIN exons x ON b.locus = x.locus AND x."left" <= b."right" AND b."left" <= x."right"),
+k AS (SELECT locus, spot, n, array_to_string(list_sort(list(DISTINCT "left" || '-' || "right")), ',') AS segments FROM p GROUP BY locus, spot, n)
+SELECT locus, segments, count(*) AS n_fragments, sum(n)::BIGINT AS n_reads FROM k GROUP BY locus, segments""", EXONS)
 def exon_bins(spark, sf_dir):
-    pairs = joins.interval_join(_blocks(spark, sf_dir), exons(spark, sf_dir), ["locus"], bin_width=100)
+    pairs = joins.interval_join(blocks(spark, sf_dir), exons(spark, sf_dir), ["locus"], bin_width=100)
     key = F.array_join(F.array_sort(F.collect_set(F.concat_ws("-", "b_left", "b_right"))), ",")
-    return pairs.groupBy("locus", "left").agg(key.alias("segments")).groupBy("locus", "segments").agg(F.count("*").alias("n_reads"))
+    return pairs.groupBy("locus", "left", "n").agg(key.alias("segments")).groupBy("locus", "segments").agg(F.count("*").alias("n_fragments"), F.sum("n").alias("n_reads"))
 
 
 @query("""SELECT arg_min(len, (-n, len)) AS len, max(n) AS n FROM (SELECT len, count(*) AS n FROM reads GROUP BY len)""", READS)
@@ -238,8 +207,7 @@ t AS (SELECT id, z, abs(z) / sqrt(2.0) AS a, 1 / (1 + 0.3275911 * abs(z) / sqrt(
 SELECT id FROM t WHERE 0.5 * (1 + CASE WHEN z < 0 THEN -1 ELSE 1 END * (1 - ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-a * a))) <= 0.7""", READS)
 def span_outlier_filter(spark, sf_dir):
     r = reads(spark, sf_dir)
-    facts = r.groupBy("ref").agg(F.avg("len").alias("m"), F.stddev_pop("len").alias("s"))
-    return r.join(facts, "ref").where(stats.normal_cdf((F.col("len") - F.col("m")) / (5 * F.col("s"))) <= 0.7).select("id")
+    return fragments.without_outliers(r.withColumn("spans", F.array("len")), ["ref"], outlier=0.7).select("id")
 
 
 @query("""SELECT len, count(*) AS n, round(count(*) / (SELECT count(*) FROM reads), 9) AS p FROM reads GROUP BY len""", READS)
@@ -316,13 +284,14 @@ def gtf_parse(spark, sf_dir):
 
 
 @query("""
-, a AS (SELECT DISTINCT locus, "left" FROM exons WHERE transcript % 2 = 0), b AS (SELECT DISTINCT locus, "left" FROM exons WHERE transcript % 2 = 1)
+, a AS (SELECT DISTINCT locus, "left" AS at FROM exons), b AS (SELECT DISTINCT locus, "right" + 1 AS at FROM exons)
 SELECT 'union' AS op, * FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'except', * FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'intersect', * FROM (SELECT * FROM a INTERSECT SELECT * FROM b)""", EXONS)
 def set_ops(spark, sf_dir):
+    """Where exons start, and where they have ended."""
     e = exons(spark, sf_dir)
-    a, b = (e.where(f"transcript % 2 = {k}").select("locus", "left").distinct() for k in (0, 1))
+    a, b = e.select("locus", F.col("left").alias("at")).distinct(), e.select("locus", (F.col("right") + 1).alias("at")).distinct()
     named = [("union", a.union(b).distinct()), ("except", a.exceptAll(b)), ("intersect", a.intersect(b))]
-    parts = [df.select(F.lit(op).alias("op"), "locus", "left") for op, df in named]
+    parts = [df.select(F.lit(op).alias("op"), "locus", "at") for op, df in named]
     return parts[0].union(parts[1]).union(parts[2])
 
 
@@ -336,21 +305,22 @@ def string_functions(spark, sf_dir):
 , t AS (SELECT locus, transcript, min("left") AS l FROM exons GROUP BY ALL)
 SELECT locus, transcript, dense_rank() OVER (ORDER BY locus) AS gene, row_number() OVER (PARTITION BY locus ORDER BY l, transcript) AS isoform FROM t""", EXONS)
 def isoform_numbering(spark, sf_dir):
-    """Genes are numbered over their distinct loci, one row each, and joined back."""
+    """Genes are numbered over their distinct loci, in order of locus, and joined back."""
     t = exons(spark, sf_dir).groupBy("locus", "transcript").agg(F.min("left").alias("l"))
-    genes = t.select("locus").distinct().select("locus", F.row_number().over(Window.orderBy("locus")).cast("long").alias("gene"))
+    genes = numbering.numbered(t.select("locus").distinct(), ["locus"], "gene")
     isoform = F.row_number().over(Window.partitionBy("locus").orderBy("l", "transcript")).cast("long")
     return t.withColumn("isoform", isoform).join(genes, "locus").select("locus", "transcript", "gene", "isoform")
 
 
 @query("""
 , loci AS (SELECT ref, id AS locus, "left", "right" + 300 AS "right" FROM reads WHERE len > 200)
-SELECT r.id, coalesce(l.locus, -1) AS locus FROM reads r LEFT JOIN loci l ON r.ref = l.ref AND r."left" <= l."right" AND l."left" <= r."right" WHERE r.len <= 200""", READS)
+SELECT r.id, coalesce(l.locus, -1) AS locus FROM reads r LEFT JOIN loci l ON r.ref = l.ref AND r."left" <= l."right" AND l."left" <= r."right"
+""", READS)
 def read_to_reference_locus(spark, sf_dir):
     """Reads with the loci that they touch; reads that touch none stay, for de novo clusters."""
     r = reads(spark, sf_dir)
     loci = r.where("len > 200").select("ref", F.col("id").alias("locus"), "left", (F.col("right") + 300).alias("right"))
-    return joins.interval_left_join(r.where("len <= 200").select("ref", "id", "left", "right"), loci, ["ref"], "id").select("id", F.coalesce("b_locus", F.lit(-1)).alias("locus"))
+    return joins.interval_left_join(r.select("ref", "id", "left", "right"), loci, ["ref"], "id").select("id", F.coalesce("b_locus", F.lit(-1)).alias("locus"))
 
 
 @query(JUNCTIONS + """, z AS (SELECT *, (n_small - 0.5 - n_reads * 0.2) / sqrt(n_reads * 0.16) AS z FROM n), t AS (SELECT *, abs(z) / sqrt(2.0) AS a, 1 / (1 + 0.3275911 * abs(z) / sqrt(2.0)) AS t FROM z)
@@ -389,40 +359,8 @@ def fragment_context(spark, sf_dir):
     """Counts of fragments by the path of segments that they touch, with the gene's total."""
     from tessella.sources.context import paths
 
-    pairs = joins.interval_join(_blocks(spark, sf_dir), exons(spark, sf_dir), ["locus"], bin_width=100)
+    pairs = joins.interval_join(blocks(spark, sf_dir), exons(spark, sf_dir), ["locus"], bin_width=100)
     return paths(pairs.select(F.concat(F.lit("g"), "locus").alias("gene_id"), F.col("left").alias("fragment"), F.col("b_left").alias("left"), F.col("b_right").alias("right")))
 
 
-@query()
-def bin_effective_length(spark, sf_dir):
-    """Weights of each transcript's first bins: pairs of neighbouring exons, by an enumerated effective length."""
-    e = exons(spark, sf_dir)
-    order = Window.partitionBy("transcript").orderBy("left", "right")
-    size = F.col("right") - F.col("left") + 1
-    pairs = e.select("transcript", size.alias("a"), F.lead(size).over(order).alias("b")).where("b is not null")
-
-    @F.pandas_udf("long")
-    def effective(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([abundance.effective_length([x, y], set(), 30, 10) for x, y in zip(a, b)])
-
-    return pairs.select("transcript", "a", "b", effective("a", "b").alias("effective"))
-
-
-@query()
-def em_abundance(spark, sf_dir):
-    """EM over the exon bins of a locus."""
-    pairs = joins.interval_join(exons(spark, sf_dir), _blocks(spark, sf_dir), ["locus"], predicate="contain", bin_width=100)
-    isoforms = (F.col("transcript") / 500).cast("long") % 4
-    hits = pairs.select("locus", F.col("b_left").alias("at"), isoforms.alias("isoform")).distinct()
-    bins = hits.groupBy("locus", "at").agg(F.array_join(F.array_sort(F.collect_set("isoform")), ",").alias("bin"))
-    counts = bins.groupBy("locus", "bin").agg(F.count("*").alias("n"))
-    long = counts.select("locus", "bin", "n", F.explode(F.split("bin", ",")).alias("isoform"))
-    return abundance.em_abundance(long.select("locus", "bin", "n", F.col("isoform").cast("long").alias("isoform"), (1.0 / (F.col("isoform").cast("long") + 2)).alias("weight")))
-
-
-@query()
-def flow_assembly(spark, sf_dir):
-    """Transcripts of each locus by minimum-cost flow over its splice graph."""
-    few = exons(spark, sf_dir)
-    junctions = ranges.introns(few, ["locus", "transcript"]).groupBy("locus", "left", "right").agg(F.count("*").alias("n_reads")).where("n_reads >= 2")
-    return splice.assemble(ranges.coverage(few, ["locus"]), junctions, least_length=50)
+from tessella.plans import catalogue_loci, catalogue_quant, catalogue_records  # noqa: E402, F401  (they register theirs)

@@ -44,13 +44,37 @@ exons AS (SELECT l_orderkey % 500 AS locus, l_orderkey AS transcript, pos AS "le
 FROM (SELECT l_orderkey, l_linenumber::BIGINT * 1000 + min(l_partkey) % 500 AS pos, trunc(max(l_quantity))::BIGINT AS q FROM lineitem GROUP BY l_orderkey, l_linenumber))"""
 
 
+def rough_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as exons on a coarse grid, so that transcripts of a locus share exons, junctions and ends."""
+    one = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.max("l_quantity").cast("long").alias("q"))
+    left = F.col("l_linenumber").cast("long") * 300 + F.col("p") % 4 * 25 + F.when(F.col("p") % 29 == 0, 7).otherwise(0)
+    right = left + 59 + F.floor(F.col("q") / 15) * 35
+    return one.select((F.col("l_orderkey") % 60).alias("locus"), F.col("l_orderkey").alias("transcript"), left.alias("left"), right.alias("right"))
+
+
+ROUGH = """
+exons AS (SELECT l_orderkey % 60 AS locus, l_orderkey AS transcript, pos AS "left", pos + 59 + q // 15 * 35 AS "right"
+FROM (SELECT l_orderkey, l_linenumber::BIGINT * 300 + min(l_partkey) % 4 * 25 + CASE WHEN min(l_partkey) % 29 = 0 THEN 7 ELSE 0 END AS pos, trunc(max(l_quantity))::BIGINT AS q FROM lineitem GROUP BY l_orderkey, l_linenumber))"""
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as reads of one block, each inside a locus: equal ones are one fragment of n reads."""
+    line = table(spark, sf_dir, "lineitem")
+    left = F.col("l_linenumber").cast("long") * 1000 + F.col("l_suppkey") % 500
+    return line.groupBy((F.col("l_orderkey") % 500).alias("locus"), left.alias("left"), (left + 4).alias("right")).agg(F.count("*").alias("n"))
+
+
+BLOCKS = """, b AS (SELECT l_orderkey % 500 AS locus, l_linenumber::BIGINT * 1000 + l_suppkey % 500 AS "left", l_linenumber::BIGINT * 1000 + l_suppkey % 500 + 4 AS "right", count(*) AS n FROM lineitem GROUP BY ALL)
+"""
+
+
 def mates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns as mates: a user turn's mate is the turn after it."""
-    c = table(spark, sf_dir, "conversations").where("role in ('user', 'assistant')")
-    user = F.col("role") == "user"
-    return c.select(F.col("conv_id").alias("name"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), (F.col("turn") + 1).alias("left"), (F.col("turn") + F.when(user, 2).otherwise(0)).alias("mate_left"), F.when(F.length("text") % 3 == 0, "?").otherwise("+").alias("strand"))
+    """Conversation turns as mates: a turn of an even number has the one after it for its mate."""
+    c = table(spark, sf_dir, "conversations")
+    left, right = (F.col("turn") + 1).cast("long"), F.col("turn") + F.when(F.col("turn") % 2 == 0, 2).otherwise(0)
+    return c.select(F.col("conv_id").alias("name"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), left.alias("left"), right.cast("long").alias("mate_left"), F.when(F.length("text") % 3 == 0, "?").otherwise("+").alias("strand"))
 
 
 MATES = """
-mates AS (SELECT conv_id AS name, conv_id * 1000 + turn AS id, turn + 1 AS "left", turn + CASE WHEN role = 'user' THEN 2 ELSE 0 END AS mate_left, CASE WHEN length(text) % 3 = 0 THEN '?' ELSE '+' END AS strand
-FROM conversations WHERE role IN ('user', 'assistant'))"""
+mates AS (SELECT conv_id AS name, conv_id * 1000 + turn AS id, turn + 1 AS "left", turn + CASE WHEN turn % 2 = 0 THEN 2 ELSE 0 END AS mate_left, CASE WHEN length(text) % 3 = 0 THEN '?' ELSE '+' END AS strand
+FROM conversations)"""

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 class Options:
     """What a run can be told.  Defaults are those of the command line that it replaces."""
 
-    output: str | None = None
-    log: str | None = None
+    output: str | None = None  # where the run writes GTF lines
+    log: str | None = None  # where it writes what it noted; verbose: with the reads of every transcript
     verbose: bool = False
     min_mapping_quality: int = 0
     enforce_mapping_quality: bool = False  # by default a low quality is only reported
@@ -23,7 +23,7 @@ class Options:
     inspected_reads: int = 50_000
     allow_multimapped: bool = False
     library: str | None = None  # fr or rf
-    annotation: str | None = None
+    annotation: str | None = None  # a GTF or GFF3 file, read where the run isn't given one
     no_assembly: bool = False
     no_quant: bool = False
     min_transcript_length: int = 200
@@ -35,10 +35,10 @@ class Options:
     combine_fragments: bool = False
     min_transcript_depth: float = 1.0
     min_locus_reads: int = 5
-    insert_size: tuple[float, float] | None = None
-    genome: str | None = None
+    insert_size: tuple[float, float] | None = None  # mean and deviation
+    genome: str | None = None  # FASTA, for the sequence columns of the context table
     min_fraction: float = 0.01
-    context: str | None = None
+    context: str | None = None  # where it writes the fragment context table
 
     def __post_init__(self):
         if self.library not in (None, "fr", "rf"):
@@ -49,6 +49,8 @@ class Options:
             raise ValueError("introns need 1 <= min_intron <= max_intron")
         if self.no_assembly and not self.annotation:
             raise ValueError("without assembly an annotation is needed")
+        if self.min_mapping_quality and not self.enforce_mapping_quality:
+            warnings.warn("a low mapping quality is only counted in the log; enforce_mapping_quality drops such reads", stacklevel=2)
         if self.min_exon_coverage != 1.0 or self.combine_fragments:
             warnings.warn("min_exon_coverage and combine_fragments have no effect", stacklevel=2)
 

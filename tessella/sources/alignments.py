@@ -1,6 +1,6 @@
 """Alignments as a DataFrame: text SAM by Spark's reader, BAM by a Python data source.
 
-Columns: name, flag, ref, left (1-based), mapq, cigar (string), mate_ref, mate_left, seq, xs, nm, nh.
+Columns: name, flag, ref, left (1-based), mapq, cigar (string), mate_ref, mate_left, seq, xs, nm, nh, zf.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "name string, flag int, ref string, left long, mapq int, cigar string, mate_ref string, mate_left long, seq string, xs string, nm int, nh int"
+SCHEMA = "name string, flag int, ref string, left long, mapq int, cigar string, mate_ref string, mate_left long, seq string, xs string, nm int, nh int, zf int"
 #: Operation letters and base letters by their codes in a record.
 OPS, BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
 #: Sizes of the tag types that have one.
@@ -24,7 +24,12 @@ MAX_HEADER = 4 << 20
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """Records of a text file; header lines are left out."""
-    lines = spark.read.text(path).where(~F.col("value").startswith("@") & (F.length("value") > 0))
+    return parse_sam(spark.read.text(path))
+
+
+def parse_sam(text: DataFrame) -> DataFrame:
+    """Records of lines in a column ``value``; header lines and empty ones are left out."""
+    lines = text.where(~F.col("value").startswith("@") & (F.length("value") > 0))
     f = F.split("value", "\t")
     none = lambda c: F.nullif(c, F.lit("*"))
 
@@ -35,14 +40,21 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(
         f[0].alias("name"), f[1].try_cast("int").alias("flag"), ref.alias("ref"), f[3].try_cast("long").alias("left"), f[4].try_cast("int").alias("mapq"), f[5].alias("cigar"),
         F.when(f[6] == "=", ref).otherwise(none(f[6])).alias("mate_ref"), f[7].try_cast("long").alias("mate_left"), none(f[9]).alias("seq"),
-        tag("XS", "A").alias("xs"), tag("NM", "i").try_cast("int").alias("nm"), tag("NH", "i").try_cast("int").alias("nh"),
+        tag("XS", "A").alias("xs"), tag("NM", "i").try_cast("int").alias("nm"), tag("NH", "i").try_cast("int").alias("nh"), tag("ZF", "i").try_cast("int").alias("zf"),
     )
 
 
+#: Fixed value: the empty block that ends a complete file.
+END_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
+
+
 def inflate(path: str) -> Iterator[bytes]:
-    """The members of a blocked gzip file, one after the other."""
+    """The members of a blocked gzip file, one after the other.  A file that ends early is an error."""
     with open(path, "rb") as f:
+        last = b""
         while head := f.read(12):
+            if len(head) < 12:
+                raise ValueError(f"{path}: ends inside a block")
             extra = f.read(struct.unpack("<H", head[10:12])[0])
             at, size = 0, None
             while at < len(extra):
@@ -53,21 +65,31 @@ def inflate(path: str) -> Iterator[bytes]:
             if size is None:
                 raise ValueError(f"{path}: not a blocked gzip file")
             body = f.read(size - 12 - len(extra))
+            if len(body) < size - 12 - len(extra):
+                raise ValueError(f"{path}: ends inside a block")
+            last = head + extra + body
             yield zlib.decompress(body[:-8], -15)
+        if last != END_BLOCK:
+            raise ValueError(f"{path}: the end block is missing")
 
 
 class _Stream:
+    """Bytes taken from blocks; what was taken is only cut off block by block."""
+
     def __init__(self, blocks: Iterator[bytes]):
-        self.blocks, self.buffer = blocks, b""
+        self.blocks, self.buffer, self.at = blocks, b"", 0
 
     def take(self, n: int) -> bytes:
-        while len(self.buffer) < n:
-            try:
-                self.buffer += next(self.blocks)
-            except StopIteration:
+        """The next ``n`` bytes, or none at the end; an end inside them is an error."""
+        while len(self.buffer) - self.at < n:
+            more = next(self.blocks, None)
+            if more is None:
+                if len(self.buffer) > self.at:
+                    raise ValueError("the file ends inside a record")
                 return b""
-        out, self.buffer = self.buffer[:n], self.buffer[n:]
-        return out
+            self.buffer, self.at = self.buffer[self.at :] + more, 0
+        self.at += n
+        return self.buffer[self.at - n : self.at]
 
 
 def header(path: str) -> tuple[str, list[tuple[str, int]]]:
@@ -89,6 +111,16 @@ def _header(stream: _Stream) -> tuple[str, list[tuple[str, int]]]:
     return text, refs
 
 
+def platform(text: str) -> str | None:
+    """The sequencing platform that a header's first read group names."""
+    for line in text.splitlines():
+        if line.startswith("@RG"):
+            for part in line.split("\t"):
+                if part.startswith("PL:"):
+                    return part[3:]
+    return None
+
+
 def tags(data: bytes) -> dict[str, object]:
     """The tags of a record that are letters, numbers or strings."""
     found, at = {}, 0
@@ -114,6 +146,8 @@ def records(path: str, with_seq: bool = False) -> Iterator[tuple]:
     name_of = lambda k: refs[k][0] if k >= 0 else None
     while size := stream.take(4):
         data = stream.take(struct.unpack("<i", size)[0])
+        if not data:
+            raise ValueError(f"{path}: the file ends inside a record")
         ref, pos, n_name, mapq, _, n_ops, flag, n_seq, mate, mate_pos, _ = struct.unpack("<iiBBHHHiiii", data[:32])
         at = 32 + n_name
         ops = struct.unpack(f"<{n_ops}I", data[at : at + 4 * n_ops])
@@ -122,7 +156,7 @@ def records(path: str, with_seq: bool = False) -> Iterator[tuple]:
         seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:n_seq] if with_seq else None
         own = tags(data[at + len(packed) + n_seq :])
         cigar = "".join(f"{x >> 4}{OPS[x & 15]}" for x in ops) or "*"
-        yield (data[32 : at - 4 * n_ops - 1].decode(), flag, name_of(ref), pos + 1, mapq, cigar, name_of(mate), mate_pos + 1, seq, own.get("XS"), own.get("NM"), own.get("NH"))
+        yield (data[32 : at - 4 * n_ops - 1].decode(), flag, name_of(ref), pos + 1, mapq, cigar, name_of(mate), mate_pos + 1, seq, own.get("XS"), own.get("NM"), own.get("NH"), own.get("ZF"))
 
 
 class BamSource(DataSource):

@@ -29,6 +29,16 @@ def with_sequence(rows: DataFrame, seq: str = "seq") -> DataFrame:
     return out.drop(seq)
 
 
+def with_genome(rows: DataFrame, genome: DataFrame) -> DataFrame:
+    """Rows (with ref and touched, the path's segments) with the sequence columns; genome: name, seq.
+
+    Sequences are joined by name, each read once for its rows; only the path's own part goes on.
+    """
+    cut = sequences.spliced_sequence(F.col("__seq"), F.col("touched"))
+    named = genome.select(F.col("name").alias("ref"), F.col("seq").alias("__seq"))
+    return with_sequence(rows.join(named, "ref", "left").withColumn("seq", cut).drop("__seq", "ref", "touched"))
+
+
 def write(rows: DataFrame, path: str) -> None:
     """Tab-separated, with a header; an existing path is an error."""
     rows.write.mode("errorifexists").option("sep", "\t").option("header", "true").csv(path)

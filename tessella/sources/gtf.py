@@ -22,8 +22,8 @@ def kind(of: Column) -> Column:
     return (
         F.when(low.contains("utr"), "utr")
         .when(low.contains("exon"), "exon")
-        .when(low.contains("stop") & low.contains("codon"), "stop_codon")
-        .when(low.contains("start") & low.contains("codon"), "start_codon")
+        .when(low.contains("stop") & (low.contains("codon") | low.contains("cds")), "stop_codon")
+        .when(low.contains("start") & (low.contains("codon") | low.contains("cds")), "start_codon")
         .when(low == "cds", "cds")
         .when(low.contains("rna") | low.contains("transcript"), "transcript")
         .when(low.contains("gene"), "gene")
@@ -31,7 +31,7 @@ def kind(of: Column) -> Column:
 
 
 def parse(lines: DataFrame, strict: bool = False) -> DataFrame:
-    """Rows of a column ``value`` as columns; comments, short lines and other types are left out.
+    """Rows of a column ``value`` as columns; comments, short lines, other types and lines without coordinates are left out.
 
     strict: lines with a numeric score are dropped, as a reader would that gives up after the score.
     """
@@ -39,14 +39,14 @@ def parse(lines: DataFrame, strict: bool = False) -> DataFrame:
     rows = lines.where(~F.col("value").startswith("#") & (F.length("value") >= 10) & (F.size(part) >= 9))
     if strict:
         rows = rows.where(F.trim(part[5]) == ".")
-    start, stop, at = part[3].cast("long"), part[4].cast("long"), part[8]
+    start, stop, at = part[3].try_cast("long"), part[4].try_cast("long"), part[8]
     gene_name = F.coalesce(*(attribute(at, n) for n in ("gene_name", "genename", "gene_sym", "gene", "name")))
     out = rows.select(
         part[0].alias("chrom"),
         part[1].alias("source"),
         kind(part[2]).alias("kind"),
         F.least(start, stop).alias("left"),
-        F.greatest(start, stop).alias("right"),
+        F.when(start.isNotNull() & stop.isNotNull(), F.greatest(start, stop)).alias("right"),
         part[5].try_cast("double").alias("score"),
         part[6].alias("strand"),
         part[7].alias("phase"),
@@ -55,7 +55,7 @@ def parse(lines: DataFrame, strict: bool = False) -> DataFrame:
         F.coalesce(attribute(at, "transcript_id"), F.when(kind(part[2]) == "transcript", attribute(at, "ID"))).alias("transcript_id"),
         attribute(at, "Parent").alias("parent"),
     )
-    return out.where("kind is not null")
+    return out.where("kind is not null and right is not null")
 
 
 def transcripts(parsed: DataFrame) -> DataFrame:

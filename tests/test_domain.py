@@ -138,10 +138,19 @@ def test_bam(spark, tmp_path):
     body = struct.pack("<iiBBHHHiiii", 0, 9, 3, 60, 0, 1, 0, 4, -1, -1, 0) + b"r1\0" + struct.pack("<I", 4 << 4) + bytes([0x12, 0x48]) + b"\xff" * 4 + b"NHC\x01XSA+"
     path = tmp_path / "x.bam"
     data = head + struct.pack("<i", len(body)) + body
-    path.write_bytes(block(data[:30]) + block(data[30:]) + block(b""))
+    whole = block(data[:30]) + block(data[30:]) + alignments.END_BLOCK
+    path.write_bytes(whole)
     row = alignments.read_bam(spark, str(path), with_seq=True).first()
-    assert tuple(row) == ("r1", 0, "c1", 10, 60, "4M", None, 0, "ACGT", "+", None, 1)
+    assert tuple(row) == ("r1", 0, "c1", 10, 60, "4M", None, 0, "ACGT", "+", None, 1, None)
     assert alignments.header(str(path))[1] == [("c1", 100)]
+    for cut in (len(whole) - 28, len(whole) - 5, len(whole) - 40):
+        (tmp_path / "cut.bam").write_bytes(whole[:cut])
+        with pytest.raises(ValueError, match="end"):
+            list(alignments.records(str(tmp_path / "cut.bam")))
+    (tmp_path / "short.bam").write_bytes(block(data[:-7]) + alignments.END_BLOCK)
+    with pytest.raises(ValueError, match="ends inside a record"):
+        list(alignments.records(str(tmp_path / "short.bam")))
+    assert alignments.platform("@HD\tVN:1\n@RG\tID:a\tPL:Illumina\n") == "Illumina"
 
 
 def test_fasta(spark, tmp_path):

@@ -82,14 +82,14 @@ def _made(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 _made.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
 
 
-def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and shingles of the wanted nodes.
+def sets_of(texts: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
+    """node and shingles of the wanted nodes, ``most`` rows at most.
 
     texts: key, th, text; wanted: node, and the key and th of one of its rows.  Sets are made from the
     texts anew, of that row alone: kept sets of all rows would be as large as the input.
     """
     wanted = wanted.select("node", F.col("key").alias("own"), F.col("th").alias("own_th"))
-    if wanted.count() <= BROADCAST_ROWS:
+    if most <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     rows = texts.join(wanted, F.col("key").eqNullSafe(F.col("own")) & (F.col("th") == F.col("own_th")))
     return rows.select("node", F.pandas_udf(_made, "binary")("text").alias("shingles")).dropDuplicates(["node"])
@@ -99,7 +99,7 @@ def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose sets have a similarity of 0.8 or more.  nodes: node, key, th."""
     pairs = durable(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("salt", F.pmod(F.hash("b"), F.lit(SALT))))
     used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    held = durable(sets_of(texts, durable(nodes.select("node", "key", "th").join(used, "node", "left_semi"))))
+    held = durable(sets_of(texts, nodes.select("node", "key", "th").join(used, "node", "left_semi"), 2 * pairs.count()))
     left = pairs.select("a", "salt").distinct().join(held.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     right = pairs.select("b", F.pmod(F.hash("a"), F.lit(SALT)).alias("salt_b")).distinct().join(held.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     both = pairs.withColumn("salt_b", F.pmod(F.hash("a"), F.lit(SALT))).join(left, ["a", "salt"]).join(right, ["b", "salt_b"])

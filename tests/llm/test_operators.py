@@ -247,7 +247,9 @@ def test_long_text_fingerprint(monkeypatch):
     assert whole == simhash.fingerprint_of(LONG + "and more")
 
 
-def test_components_of_a_path(spark):
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_components_of_a_path(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL", small)
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 100), (50, 51)], "a long, b long")
     assert {r["node"]: r["root"] for r in components.components(edges).collect()} == {**dict.fromkeys(range(31), 0), 50: 50, 51: 50}
     assert components.components(edges.limit(0)).count() == 0

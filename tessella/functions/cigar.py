@@ -29,10 +29,6 @@ def read_length(cigar: Column) -> Column:
     return total(cigar, "MIS")
 
 
-def intron_length(cigar: Column) -> Column:
-    return total(cigar, "N")
-
-
 def spliced(cigar: Column) -> Column:
     return F.exists(cigar, lambda x: x["op"] == "N")
 

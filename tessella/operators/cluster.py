@@ -12,7 +12,7 @@ GAP = 50
 BLOCK = 1_000_000
 
 
-def _running(df: DataFrame, group: list[str], order: list[str], value: Column, combine: str, out: str, inclusive: bool) -> DataFrame:
+def running(df: DataFrame, group: list[str], order: list[str], value: Column, combine: str, out: str, inclusive: bool) -> DataFrame:
     """Running max or sum over a whole group, worked on block by block.
 
     A group such as a chromosome may hold a third of all rows, so no window spans it: each
@@ -38,10 +38,10 @@ def gap_cluster(df: DataFrame, group: list[str], key: str, left: str = "left", r
     """
     order = [left, right, key]
     rows = df.withColumn("__block", F.floor(F.col(left) / BLOCK))
-    rows = _running(rows, group, order, F.col(right), "max", "__reach", inclusive=False)
+    rows = running(rows, group, order, F.col(right), "max", "__reach", inclusive=False)
     starts = F.when(F.col("__reach").isNull() | (F.col(left) > F.col("__reach") + gap), 1).otherwise(0)
     rows = rows.withColumn("__starts", starts)
-    rows = _running(rows, group, order, F.col("__starts"), "sum", out, inclusive=True)
+    rows = running(rows, group, order, F.col("__starts"), "sum", out, inclusive=True)
     return rows.drop("__block", "__reach", "__starts")
 
 
@@ -50,7 +50,7 @@ def before_starts(df: DataFrame, starts: DataFrame, group: list[str], key: str,
     marks = starts.select(*group, F.col("left").alias("__at"), F.lit(1).alias("__mark"), F.lit(None).cast(df.schema[key].dataType).alias(key))
     rows = df.withColumn("__at", F.col(left)).withColumn("__mark", F.lit(0)).unionByName(marks, allowMissingColumns=True)
     rows = rows.withColumn("__block", F.floor(F.col("__at") / BLOCK)).withColumn("__order", -F.col("__mark"))
-    counted = _running(rows, group, ["__at", "__order", key], F.col("__mark"), "sum", out, inclusive=True)
+    counted = running(rows, group, ["__at", "__order", key], F.col("__mark"), "sum", out, inclusive=True)
     return counted.where("__mark = 0").drop("__at", "__mark", "__block", "__order")
 
 

@@ -159,3 +159,20 @@ def gtf_load(spark, sf_dir):
     """Transcripts on known references, whose names match whatever their case."""
     known = table(spark, sf_dir, "customer").select(F.concat(F.lit("CHR"), (F.col("c_custkey") % 500).cast("string")).alias("ref")).distinct()
     return gtf.load_annotation(_annotation(spark, sf_dir), known).select("chrom", "transcript_id")
+
+
+@query("""
+, g AS (SELECT locus, "left", "right" FROM exons GROUP BY ALL), t AS (SELECT locus, count(DISTINCT transcript) AS n FROM exons GROUP BY locus)
+SELECT 'g' || locus AS gene_id, min("left") AS "left", max("right") AS "right", count(*)::INT AS n_exons, max(n)::INT AS n_transcripts FROM g JOIN t USING (locus) GROUP BY locus""", EXONS)
+def gtf_genes(spark, sf_dir):
+    """Genes with their ends, and their exons each once."""
+    return gtf.genes(gtf.transcripts(_annotation(spark, sf_dir))).select("gene_id", "left", "right", F.size("exons").alias("n_exons"), F.size("transcripts").alias("n_transcripts"))
+
+
+@query("""
+, k AS (SELECT DISTINCT c_custkey % 500 AS locus FROM customer)
+SELECT 'chr' || locus AS chrom, count(DISTINCT transcript) AS n_transcripts FROM exons ANTI JOIN k USING (locus) GROUP BY locus""", EXONS)
+def gtf_unknown(spark, sf_dir):
+    """Transcripts on chromosomes that aren't known."""
+    known = table(spark, sf_dir, "customer").select(F.concat(F.lit("CHR"), (F.col("c_custkey") % 500).cast("string")).alias("ref")).distinct()
+    return gtf.unknown(_annotation(spark, sf_dir), known)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.operators.cluster import running
+from tessella.session import settled
+
 INDEX = "name string, length long, offset long, line_bases int, line_bytes int"
 
 
@@ -21,13 +24,22 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def build_index(spark: SparkSession, path: str) -> DataFrame:
-    """The index of a file with one line length in each record (ASCII, line feeds)."""
-    whole = spark.read.text(path, wholetext=True)
-    parts = whole.select(F.posexplode(F.split("value", "(?m)^>")).alias("k", "part")).where("part <> ''")
-    from pyspark.sql import Window
-
-    before = F.coalesce(F.sum(F.length("part") + 1).over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lines = F.split("part", "\n")
-    rows = parts.select(F.regexp_extract("part", "^\\S+", 0).alias("name"), lines.alias("l"), before.alias("at"))
-    bases = F.aggregate(F.slice("l", 2, F.size("l")), F.lit(0).cast("long"), lambda a, x: a + F.length(x))
-    return rows.select("name", bases.alias("length"), (F.col("at") + 1 + F.length(F.col("l")[0]) + 1).cast("long").alias("offset"), F.length(F.get("l", F.lit(1))).alias("line_bases"), (F.length(F.get("l", F.lit(1))) + 1).alias("line_bytes"))
+    """The index of files with one line length in each record and line feeds; offsets are in bytes.
+
+    A line's offset is the size of all lines before it: summed within each block of a file that a task
+    reads, and carried from block to block, so no task sees a whole file.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("at"), (F.octet_length("value") + 1).cast("long").alias("size"),
+        F.when(F.col("value").startswith(">"), F.regexp_extract("value", "^>(\\S*)", 1)).alias("name"),
+    )
+    rows = running(settled(lines), ["file"], ["at"], F.col("size"), "sum", "offset", inclusive=False)
+    rows = running(rows, ["file"], ["at"], F.when(F.col("name").isNotNull(), 1).otherwise(0), "sum", "record", inclusive=True).drop("__block")
+    bases = rows.where("name is null and record > 0").groupBy("file", "record").agg(F.sum(F.col("size") - 1).alias("length"), F.min("offset").cast("long").alias("offset"), F.min_by("size", "offset").alias("first"))
+    names = rows.where("name is not null").select("file", "record", "name")
+    return names.join(bases, ["file", "record"]).select("name", "length", "offset", (F.col("first") - 1).cast("int").alias("line_bases"), F.col("first").cast("int").alias("line_bytes"))
+
+
+def load(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The one record of that name."""
+    return read(spark, path).where(F.col("name") == name)

@@ -67,6 +67,19 @@ def transcripts(parsed: DataFrame) -> DataFrame:
     return own
 
 
+def genes(own: DataFrame) -> DataFrame:
+    """Genes of ``transcripts``: their ends, transcripts, and exons in order, each once in the gene."""
+    every = F.array_sort(F.array_distinct(F.flatten(F.collect_list("exons"))))
+    rows = own.groupBy("chrom", "strand", "gene_id").agg(every.alias("exons"), F.array_sort(F.collect_set("transcript_id")).alias("transcripts"), F.min("gene_name").alias("gene_name"))
+    return rows.withColumn("left", F.col("exons")[0]["left"]).withColumn("right", F.array_max(F.transform("exons", lambda e: e["right"])))
+
+
+def unknown(parsed: DataFrame, refs: DataFrame) -> DataFrame:
+    """How many transcripts lie on each chromosome that isn't one of the references."""
+    known = refs.select(F.lower("ref").alias("__low"))
+    return transcripts(parsed).join(known, F.lower("chrom") == F.col("__low"), "left_anti").groupBy("chrom").agg(F.count("*").alias("n_transcripts"))
+
+
 def read(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     if not path.lower().endswith((".gtf", ".gff3")):
         raise ValueError(f"{path}: an annotation ends in .gtf or .gff3")
@@ -78,6 +91,7 @@ def load_annotation(parsed: DataFrame, refs: DataFrame) -> DataFrame:
     known = refs.select(F.lower("ref").alias("__low"), F.col("ref").alias("__ref"))
     own = transcripts(parsed)
     out = own.join(known, F.lower("chrom") == F.col("__low")).withColumn("chrom", F.col("__ref")).drop("__low", "__ref")
+    # One look at each side; names that no reference has are left out, and ``unknown`` counts them.
     if out.isEmpty() and not own.isEmpty():
         raise ValueError("no chromosome of the annotation is one of the alignments")
     return out

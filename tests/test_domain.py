@@ -153,6 +153,34 @@ def test_bam(spark, tmp_path):
     assert alignments.platform("@HD\tVN:1\n@RG\tID:a\tPL:Illumina\n") == "Illumina"
 
 
+def test_bam_splits(spark, tmp_path):
+    """Ranges of blocks of any size give the same records, also where records cross blocks."""
+
+    def block(data):
+        c = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = c.compress(data) + c.flush()
+        return struct.pack("<BBBBIBBHBBHH", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
+
+    rng = np.random.default_rng(1)
+    data = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", 2)
+    for name in (b"c1\0", b"c2\0"):
+        data += struct.pack("<i", len(name)) + name + struct.pack("<i", 10**6)
+    for i in range(400):
+        name, n = f"read{i}".encode() + b"\0", int(rng.integers(4, 150))
+        body = struct.pack("<iiBBHHHiiii", i % 2, 10 * i, len(name), 60, 0, 1, 0, n, -1, -1, 0) + name + struct.pack("<I", n << 4) + rng.integers(0, 255, (n + 1) // 2, dtype=np.uint8).tobytes() + b"\xff" * n + b"NHC\x01"
+        data += struct.pack("<i", len(body)) + body
+    path = tmp_path / "many.bam"
+    path.write_bytes(b"".join(block(data[i : i + 701]) for i in range(0, len(data), 701)) + alignments.END_BLOCK)
+    want = list(alignments.records(str(path), True))
+    assert len(want) == 400 and [w[0] for w in want] == [f"read{i}" for i in range(400)]
+    for size in (1, 500, 2000, 9000, 10**9):
+        parts = alignments.splits(str(path), size)
+        assert [r for a, b in parts for r in alignments.records(str(path), True, a, b)] == want, size
+    spark.dataSource.register(alignments.BamSource)
+    df = spark.read.format("bam").option("path", str(path)).option("split", "3000").load()
+    assert df.rdd.getNumPartitions() > 3 and sorted(r["name"] for r in df.collect()) == sorted(w[0] for w in want)
+
+
 def test_fasta(spark, tmp_path):
     path = tmp_path / "x.fa"
     path.write_text(">a one\nACGT\nAC\n>b\nGGGG\n")
@@ -160,6 +188,48 @@ def test_fasta(spark, tmp_path):
     assert [tuple(r) for r in fasta.build_index(spark, str(path)).orderBy("offset").collect()] == [("a", 6, 7, 4, 5), ("b", 4, 18, 4, 5)]
 
 
+def test_fasta_index_over_blocks(spark, tmp_path):
+    """Blocks of a few bytes give the same index as one task; the index file reads back; records load by name."""
+    path = tmp_path / "y.fa"
+    records = {f"s{k}": "ACGTN" * (7 * k + 3) for k in range(20)}
+    path.write_text("".join(f">{n} of {len(q)}\n" + "".join(q[i : i + 60] + "\n" for i in range(0, len(q), 60)) for n, q in records.items()))
+    raw = path.read_bytes()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        rows = fasta.build_index(spark, str(path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r["name"]: r["length"] for r in rows} == {n: len(q) for n, q in records.items()}
+    for r in rows:
+        q = records[r["name"]]
+        assert raw[r["offset"] : r["offset"] + r["line_bases"]].decode() == q[:60] and r["line_bytes"] == r["line_bases"] + 1
+    (tmp_path / "y.fai").write_text("".join("\t".join(map(str, r)) + "\n" for r in rows))
+    assert sorted(map(tuple, fasta.read_index(spark, str(tmp_path / "y.fai")).collect())) == sorted(map(tuple, rows))
+    assert fasta.load(spark, str(path), "s3").first()["seq"] == records["s3"]
+
+
+def test_features_merge(spark):
+    kind = "array<struct<code:string,left:bigint,right:bigint,avg_cov:double>>"
+    rows = [([("S", 1, 10, 2.0), ("S", 11, 20, 5.0), ("I", 21, 30, 0.0), ("S", 31, 40, 1.0), ("S", 42, 50, 1.0)],), ([],)]
+    got = [[tuple(x) for x in r[0]] for r in spark.createDataFrame(rows, f"f {kind}").select(intervals.merge_features(F.col("f"))).collect()]
+    assert got == [[("S", 1, 20, 2.0), ("I", 21, 30, 0.0), ("S", 31, 40, 1.0), ("S", 42, 50, 1.0)], []]
+
+
+def test_mate_stream(spark, tmp_path):
+    from tessella.streaming.loci import mate_stream
+
+    schema = "name string, id long, ts timestamp"
+    rows = spark.range(20).select(F.concat(F.lit("r"), F.col("id") % 10).alias("name"), "id", F.timestamp_seconds(F.col("id") * 60 + 10**6).alias("ts"))
+    for k, part in enumerate((rows.where("id < 10"), rows.where("id >= 10"))):
+        part.write.parquet(str(tmp_path / str(k)))
+    a, b = (spark.readStream.schema(schema).parquet(str(tmp_path / str(k))) for k in (0, 1))
+    q = mate_stream(a, b, "name").writeStream.format("memory").queryName("mates").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r["first_id"], r["second_id"]) for r in spark.table("mates").collect()) == [(i, i + 10) for i in range(10)]
+
+
 def test_annotation(spark, tmp_path):
     text = 'c1\tx\texon\t30\t21\t.\t+\t.\tgene_id "g"; transcript_id "t"; gene_name "n";\n#no\nc1\tx\texon\t1\t10\t7\t+\t.\tgene_id "g"; transcript_id "t";\nc1\tx\tother\t1\t10\t.\t+\t.\tgene_id "g";\n'
     path = tmp_path / "x.gtf"

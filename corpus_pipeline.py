@@ -2,9 +2,10 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame,
 which is written as Parquet and read again as the next one's docs.  Stages but the last keep
-the columns of documents.  Models are trained on the stage's own input.  Null and empty texts and
-texts without a letter are rejected by the first stage; repeated rows fall in the third; an
-empty table passes through every stage as an empty table.
+the columns of documents, whatever their names.  Models are trained on the stage's own input.  Null
+and empty texts and texts without a letter are rejected by the first stage; repeated rows fall in the
+third; texts of any length are worked on whole; an empty table passes through every stage as an
+empty table.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import bpe, decontam, langid, simhash, weaklabels
-from tessella.llm.materialise import stored
+from tessella.llm.exprs import col, fresh
+from tessella.llm.materialise import removed, stored
 from tessella.llm.queries import PIECES, tokenizer_path
 
 #: A document whose language has less posterior than this is rejected, as one that has none.
@@ -23,20 +25,22 @@ LEAST_LANGUAGE = 0.5
 
 
 def _judged(docs: DataFrame, made: DataFrame, keep) -> DataFrame:
-    return made.where(keep).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return made.where(keep).select(*(col(c) for c in docs.columns))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without a recognisable language go."""
     model = langid.train(docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2), tokenizer_path(PIECES))
-    found = langid.identify(docs, model, out="__language")
-    return _judged(docs, found, (F.col("__language.lang_pred") != langid.UND) & (F.col("__language.score") >= LEAST_LANGUAGE))
+    (out,) = fresh(docs.columns, "__language")
+    found = langid.identify(docs, model, out=out)
+    return _judged(docs, found, (F.col(out)["lang_pred"] != langid.UND) & (F.col(out)["score"] >= LEAST_LANGUAGE))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents that the scorer takes for bad go."""
     _, scorer = weaklabels.train(docs)
-    return _judged(docs, weaklabels.classify(docs, scorer, out="__score"), F.col("__score") >= weaklabels.THRESHOLD)
+    (out,) = fresh(docs.columns, "__score")
+    return _judged(docs, weaklabels.classify(docs, scorer, out=out), F.col(out) >= weaklabels.THRESHOLD)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +56,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """BPE encoding: the token ids of every document that is left."""
-    found = bpe.encode(docs, tokenizer_path(), out="__encoded")
-    return found.select("doc_id", "lang", "source", F.col("__encoded.n_tokens").alias("n_tokens"), F.col("__encoded.ids").alias("ids"))
+    (out,) = fresh(docs.columns, "__encoded")
+    found = bpe.encode(docs, tokenizer_path(), out=out)
+    return found.select("doc_id", "lang", "source", F.col(out)["n_tokens"].alias("n_tokens"), F.col(out)["ids"].alias("ids"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -69,8 +74,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; each stage's result is a table in the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents table; each stage's result is a table in the shared folder, until the next one's is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
-        docs = spark.read.parquet(stored(stage(spark, docs, sf_dir)))
+        folder = stored(stage(spark, docs, sf_dir))
+        if before:
+            removed(spark, before)
+        docs, before = spark.read.parquet(folder), folder
     return docs

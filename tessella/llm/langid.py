@@ -23,8 +23,8 @@ from tessella.llm.samples import first_of_each, one_of_each, text_hash
 
 #: Distinct texts of a language that are learned from (the first by hash), and their greatest length.
 SAMPLE_TEXTS, SAMPLE_CHARS = 300, 8000
-#: Languages that are learned: the most frequent ones.
-MOST_LANGS = 300
+#: Languages that are learned (the most frequent ones), and texts of all of them: many languages have fewer each.
+MOST_LANGS, SAMPLE_ROWS = 300, 20_000
 ROUNDS = 4
 #: Sums are scaled at every SCALE_STEP-th character from SCALE_FROM on; words beyond LONG characters are summed one by one.
 SCALE_FROM, SCALE_STEP, LONG = 32, 8, 512
@@ -271,8 +271,8 @@ def train(docs: DataFrame, piece_file: str, text: str = "text", lang: str = "lan
     """A model from rows of ``docs`` with a language.
 
     It learns the ``MOST_LANGS`` languages with the most rows (ties by name), each from its first
-    ``SAMPLE_TEXTS`` distinct texts in order of hash, among those of up to ``SAMPLE_CHARS`` characters; the
-    same whatever way the rows are dealt, and however many copies a text has.  Nulls in either column
+    ``SAMPLE_TEXTS`` distinct texts in order of hash (``SAMPLE_ROWS`` shared out evenly where that is less),
+    among those of up to ``SAMPLE_CHARS`` characters; the same whatever way the rows are dealt, and however many copies a text has.  Nulls in either column
     are left out; without any row the model knows no language and every prediction is ``und``.
     """
     rows = docs.select(col(text).alias("t"), col(lang).alias("kind")).where(f"t is not null and kind is not null and char_length(t) between 1 and {SAMPLE_CHARS}")
@@ -280,7 +280,7 @@ def train(docs: DataFrame, piece_file: str, text: str = "text", lang: str = "lan
     if not counts:
         return Model(piece_keys(piece_file), {})
     hashed = rows.withColumn("h", text_hash(F.col("t")))
-    chosen = first_of_each(hashed.select("kind", "h"), counts, dict.fromkeys(counts, SAMPLE_TEXTS))
+    chosen = first_of_each(hashed.select("kind", "h"), counts, dict.fromkeys(counts, min(SAMPLE_TEXTS, SAMPLE_ROWS // len(counts))))
     samples: dict[str, Counter] = {k: Counter() for k in counts}
     for row in one_of_each(hashed, chosen).collect():
         samples[row["kind"]].update(runs(row["t"]))

@@ -162,6 +162,12 @@ def stored(df: DataFrame) -> str:
     return folder
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of a store that Spark reaches, once nothing reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new name in the folder of spark.checkpoint.dir."""
     if spark.sparkContext.getCheckpointDir() is None:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.exprs import BLANKS, let, literal_array, words_between
+from tessella.llm.exprs import BLANKS, col, let, literal_array, words_between
 
 BUCKETS = 1 << 16
 #: Pseudo-occurrences that draw a bucket's trusted count to the one expected from the corpus, so
@@ -44,10 +44,10 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: s
     trusted has a column ``key``; its nulls and repeats count for nothing.  Shares are
     smoothed towards the corpus; without trusted documents every ratio is 0.
     """
-    ids = trusted.select(F.col(f"`{key}`").alias("__id")).where("__id is not null").distinct().withColumn("__trusted", F.lit(1))
+    ids = trusted.select(col(key).alias("__id")).where("__id is not null").distinct().withColumn("__trusted", F.lit(1))
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    flagged = docs.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{text}`").alias("t")).join(ids, "__id", "left")
+    flagged = docs.select(col(key).alias("__id"), col(text).alias("t")).join(ids, "__id", "left")
     each = flagged.select("__trusted", F.explode(grams(words_between(F.col("t"), BLANKS))).alias("bucket"))
     counts = each.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("__trusted").alias("target"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
@@ -80,9 +80,10 @@ def rules(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str =
 
     Fields: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed,
     log_ratio (double; 0 without words) and kept.  Every row is judged by its own text, so repeated
-    rows get equal verdicts; null and empty texts have no words and fail the base rules.
+    rows get equal verdicts; null and empty texts have no words and fail the base rules.  Texts are read
+    whole, an empty table gives an empty one, and a column that is named ``out`` is replaced.
     """
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    t = F.coalesce(col(text), F.lit(""))
     ratios = literal_array(log_ratios(docs, trusted, key, text).first()["ratios"], "double")
     lines = let(F.filter(F.split(t, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]")), lambda own: F.size(own) - F.size(F.array_distinct(own)))
 
@@ -97,7 +98,7 @@ def rules(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str =
             mean.alias("log_ratio"),
         )
 
-    judged = let(let(words_between(F.col(f"`{text}`"), BLANKS), facts), lambda f: _verdict(f, threshold))
+    judged = let(let(words_between(col(text), BLANKS), facts), lambda f: _verdict(f, threshold))
     return docs.withColumn(out, judged)
 
 

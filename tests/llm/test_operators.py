@@ -594,7 +594,7 @@ def test_clashing_names(spark, sf_dir):
     import corpus_pipeline as pipeline
 
     texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").limit(60)
-    docs = texts.select("*", *(F.lit(f"keep {c}").alias(c) for c in INTERNAL if not c.startswith("__s") and c != "__language"))
+    docs = texts.select("*", *(F.lit(f"keep {c}").alias(c) for c in INTERNAL))
     copies = docs.unionByName(docs.limit(5))
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     made = [decontam.decontaminate(copies, bench), decontam.decontaminate(copies, bench, remove="spans"), simhash.deduplicate(docs), simhash.deduplicate(copies)]

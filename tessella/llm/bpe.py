@@ -33,7 +33,7 @@ FAST_SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: Distinct pre-tokens kept with their pieces from block to block of a task; then the table is emptied.
-TABLE_WORDS = 400_000
+TABLE_WORDS = 150_000
 
 ENCODED = "n_tokens long, ids array<int>"
 DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -9,6 +9,19 @@ import numpy as np
 import xxhash
 
 
+#: Known terms up to which a document's are counted in a list of all.
+DENSE = 1 << 16
+
+
+def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes in ascending order, and how often each occurs."""
+    codes = np.sort(codes)
+    if not len(codes):
+        return codes, codes
+    starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    return codes[starts], np.diff(starts, append=len(codes)).astype(np.int32)
+
+
 class Terms:
     """Distinct words of a block of documents, and each word's hashed terms.
 
@@ -30,9 +43,11 @@ class Terms:
 
     def codes(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the text's distinct words in ascending order, and how often each occurs."""
-        words = self.split(text)
-        codes, freq = np.unique(np.fromiter(map(self.words.__getitem__, words), np.int32, len(words)), return_counts=True)
-        return codes, freq.astype(np.int32)
+        return distinct(self.ordered(self.split(text)))
+
+    def ordered(self, words: list[str]) -> np.ndarray:
+        """The words' codes, in the order of the text."""
+        return np.fromiter(map(self.words.__getitem__, words), np.int32, len(words))
 
     def resolve(self) -> None:
         new = list(self.words)[len(self.sizes) :]
@@ -55,6 +70,10 @@ class Terms:
         if not total:
             return np.zeros(0, np.int32), np.zeros(0)
         own = self.flat[np.arange(total) + np.repeat(self.starts[codes] - (np.cumsum(n) - n), n)]
+        if self.known is not None and len(self.known) < DENSE:  # places in a short list
+            sums = np.bincount(own, np.repeat(freq, n))
+            terms = np.flatnonzero(sums).astype(np.int32)
+            return terms, sums[terms]
         terms, place = np.unique(own, return_inverse=True)
         return terms, np.bincount(place, np.repeat(freq, n))
 

@@ -20,7 +20,7 @@ from tessella.llm.blocks import SMALL_BLOCK, block_udf, bound_batches
 from tessella.llm.components import durable
 from tessella.llm.exprs import col
 from tessella.llm.samples import first_of_each, one_of_each, text_hash
-from tessella.llm.terms import Terms
+from tessella.llm.terms import Terms, distinct
 
 #: Distinct texts that the scorer is fitted to (half of them likely bad ones, the first by hash), and their greatest length.
 SAMPLE_TEXTS, SAMPLE_CHARS = 6000, 20_000
@@ -54,6 +54,10 @@ def split(text: str) -> list[str]:
 
 
 def shape(word: str) -> str:
+    if word.isalpha():
+        return "A" if len(word) > 1 and word.isupper() else "a"
+    if word[:-1].isalpha() and not (word[-1].isalnum() or word[-1] == "_"):
+        return shape(word[:-1]) + word[-1]
     for pattern, put in SHAPE:
         word = pattern.sub(put, word)
     return word
@@ -65,14 +69,27 @@ def spell(word: str) -> list[str]:
 
 def marks(word: str) -> tuple[bool, bool, bool, bool, bool]:
     """What the labellers count of a word."""
+    if word.isalpha():
+        return (False, False, len(word) > 2 and word.isupper(), False, False)
     return (SYMBOL.search(word) is not None, word == "|", len(word) > 2 and word.isupper(), "!" in word, not LETTERS.match(word))
 
 
-def repeats(text: str, words: list[str]) -> tuple[float, float, float]:
-    """Shares of 3-word windows equal to an earlier one, of words equal to the one before, of lines equal to an earlier one."""
-    windows = len(words) - 2
-    again = 1 - len(set(zip(words, words[1:], words[2:]))) / windows if windows > 0 else 0.0
-    stutters = sum(map(str.__eq__, words, words[1:])) / max(1, len(words))
+def repeats(text: str, codes: np.ndarray) -> tuple[float, float, float]:
+    """Shares of 3-word windows equal to an earlier one, of words equal to the one before, of lines equal to an
+    earlier one.  codes: the words in order, equal ones alike."""
+    windows, again = len(codes) - 2, 0.0
+    if windows > 0:
+        if codes.max() < 1 << 21:
+            wide = codes.astype(np.int64)
+            each = np.sort(wide[:-2] << 42 | wide[1:-1] << 21 | wide[2:])
+            n = 1 + int((each[1:] != each[:-1]).sum())
+        else:
+            own = codes.tolist()
+            n = len(set(zip(own, own[1:], own[2:])))
+        again = 1 - n / windows
+    stutters = int((codes[1:] == codes[:-1]).sum()) / max(1, len(codes))
+    if text.count("\n") < LEAST_LINES - 1:
+        return again, stutters, UNSEEN
     lines = [x for x in text.split("\n") if x.strip()]
     return again, stutters, 1 - len(set(lines)) / len(lines) if len(lines) >= LEAST_LINES else UNSEEN
 
@@ -84,8 +101,8 @@ class _Block:
         self.terms, self.docs, self.marks = Terms(split, spell, known), [], np.zeros((0, 5), bool)
 
     def add(self, text: str) -> None:
-        words = split(text)
-        self.docs.append((*self.terms.codes(text), len(words), repeats(text, words)))
+        codes = self.terms.ordered(split(text))
+        self.docs.append((*distinct(codes), len(codes), repeats(text, codes)))
 
     def shares(self) -> np.ndarray:
         new = list(self.terms.words)[len(self.marks) :]

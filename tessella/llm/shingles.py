@@ -59,20 +59,6 @@ def parity_of(found: np.ndarray) -> bytes:
     return np.packbits(np.bincount((found >> np.uint64(20)).astype(np.int64) % PARITY, minlength=PARITY) & 1).tobytes()
 
 
-def _similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Whether the similarity of two sets is 0.8 or more: 9 times what they share against 4 times both sizes."""
-    for left, right in batches:
-        out = []
-        for x, y in zip(left, right):
-            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            out.append(9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b)))
-        yield pd.Series(out, dtype=bool)
-    release()
-
-
-_similar.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
-
-
 def _made(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield pd.Series([shingles(t).tobytes() for t in texts], dtype=object)
@@ -85,8 +71,8 @@ _made.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.S
 def sets_of(texts: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
     """node and shingles of the wanted nodes, ``most`` rows at most.
 
-    texts: key, th, text; wanted: node, and the key and th of one of its rows.  Sets are made from the
-    texts anew, of that row alone: kept sets of all rows would be as large as the input.
+    texts: key (as a string), th, text; wanted: node, and the key and th of one of its rows.  Sets are made
+    from the texts anew, of that row alone: kept sets of all rows would be as large as the input.
     """
     wanted = wanted.select("node", F.col("key").alias("own"), F.col("th").alias("own_th"))
     if most <= BROADCAST_ROWS:
@@ -95,12 +81,34 @@ def sets_of(texts: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
     return rows.select("node", F.pandas_udf(_made, "binary")("text").alias("shingles")).dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets have a similarity of 0.8 or more.  nodes: node, key, th."""
-    pairs = durable(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("salt", F.pmod(F.hash("b"), F.lit(SALT))))
-    used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    held = durable(sets_of(texts, nodes.select("node", "key", "th").join(used, "node", "left_semi"), 2 * pairs.count()))
-    left = pairs.select("a", "salt").distinct().join(held.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    right = pairs.select("b", F.pmod(F.hash("a"), F.lit(SALT)).alias("salt_b")).distinct().join(held.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    both = pairs.withColumn("salt_b", F.pmod(F.hash("a"), F.lit(SALT))).join(left, ["a", "salt"]).join(right, ["b", "salt_b"])
-    return durable(both.where(F.pandas_udf(_similar, "boolean")("x", "y")).select("a", "b"))
+def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs whose similarity is 0.8 or more: 9 times what they share against 4 times both sizes.
+
+    Rows come by (a, salt), that of a's own set (without b) first.
+    """
+    held, of = np.zeros(0, np.uint64), None
+    for batch in batches:
+        out = []
+        for a, salt, b, raw in zip(batch["a"].tolist(), batch["salt"].tolist(), batch["b"].tolist(), batch["shingles"]):
+            own = np.frombuffer(raw, np.uint64)
+            if of != (a, salt):
+                held, of = own, (a, salt)
+            elif 9 * len(np.intersect1d(held, own, assume_unique=True)) >= 4 * (len(held) + len(own)):
+                out.append((a, b))
+        yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    release()
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have a similarity of 0.8 or more.
+
+    pairs: a, b, and the key and th of a row of each (a_key, a_th, b_key, b_th), each pair once.  The set of
+    ``a`` goes to its pairs once for each of SALT parts, so a node may have very many.
+    """
+    of = lambda x: pairs.select(F.col(x).alias("node"), F.col(f"{x}_key").alias("key"), F.col(f"{x}_th").alias("th"))
+    held = durable(sets_of(texts, of("a").union(of("b")).dropDuplicates(["node"]), 2 * pairs.count()))
+    salted = pairs.select("a", F.pmod(F.hash("b"), F.lit(SALT)).alias("salt"), "b")
+    first = salted.select("a", "salt").distinct().join(held.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(0).cast("long").alias("b"), "shingles", F.lit(0).alias("late"))
+    others = salted.join(held.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "shingles", F.lit(1).alias("late"))
+    dealt = first.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", "late").drop("late")
+    return durable(dealt.mapInPandas(_similar, "a long, b long"))

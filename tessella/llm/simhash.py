@@ -44,7 +44,7 @@ BUCKET = 512
 CHUNK = 255 * 400
 #: Bits that fingerprints of sets with a similarity of 0.8 differ in at most; more has a chance of about 1e-6.
 WIDE = 24
-#: A band of more components than DENSE asks for a round of stars, up to STARS of them.
+#: A band of more components than DENSE gives a star in place of all pairs, in STARS rounds at most.
 DENSE, STARS = 64, 3
 
 
@@ -253,16 +253,48 @@ def _sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 _sign.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
 
 
-def _candidates(star: bool):
-    """Pairs of different labels of each band that the tables, fingerprints, sizes or parity bits don't rule out."""
+def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows whose band another row has too.  Rows come in order of band."""
+    last: pd.DataFrame | None = None  # the row before, which may have been passed on already
+    passed = False
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows = batch if last is None else pd.concat([last, batch], ignore_index=True)
+        band = rows["band"].to_numpy()
+        same = np.concatenate([[False], band[1:] == band[:-1]])
+        keep = same.copy()
+        keep[:-1] |= same[1:]
+        last, was = rows.iloc[-1:], passed
+        passed = bool(keep[-1])
+        if was:
+            keep[0] = False
+        yield rows[keep]
+    release()
+
+
+CANDIDATES = "a long, b long, a_key string, a_th long, b_key string, b_th long"
+
+
+def _candidates(stars: bool):
+    """Pairs of different labels of each band that the tables, fingerprints, sizes or parity bits don't rule out.
+
+    With ``stars`` a band of more than DENSE labels gives its first row's pairs alone, and a row without a
+    and b, which says so.
+    """
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         band, node, label, n, fp = (rows[c].to_numpy() for c in ("band", "node", "label", "n", "fp"))
         table = _table(rows)
         bits = np.frombuffer(b"".join(rows["parity"]), np.uint64).reshape(len(rows), shingles.PARITY // 64)
         cuts = np.flatnonzero(np.diff(band)) + 1
-        found = []
+        found, dense = [], 0
         for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(band)]):
+            labels = len(np.unique(label[s:e]))
+            if labels < 2:
+                continue
+            star = stars and labels > DENSE
+            dense += star
             for i in range(s, s + 1 if star else e - 1):
                 j = np.arange(i + 1, e)
                 j = j[label[j] != label[i]]
@@ -271,37 +303,34 @@ def _candidates(star: bool):
                 j = j[5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])]
                 j = j[9 * np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= n[i] + n[j]]
                 if len(j):
-                    found.append(np.stack([np.full(len(j), node[i]), node[j]]))
+                    found.append(np.stack([np.full(len(j), i), j]))
         a, b = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
-        return pd.DataFrame({"a": a, "b": b})
+        out = {f"{x}{c}": rows[of].to_numpy()[at] for c, of in (("", "node"), ("_key", "key"), ("_th", "th")) for x, at in (("a", a), ("b", b))}
+        pairs = pd.DataFrame(out).drop_duplicates(["a", "b"]).astype({c: "Int64" for c in ("a", "b", "a_th", "b_th")})
+        if dense:
+            pairs = pd.concat([pairs, pd.DataFrame({c: [None] for c in pairs.columns}).astype(pairs.dtypes)], ignore_index=True)
+        return pairs[[c.split()[0] for c in CANDIDATES.split(", ")]]
 
     return _by_bucket(["band"], work)
 
 
 def similar_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Edges (a, b) that connect what the similar pairs of ``nodes`` (node, n, fp, parity, bands, key, th) connect."""
-    rows = nodes.select("node", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").count().where("count > 1").select("band")
-    rows = durable(rows.join(shared, "band", "left_semi"))
-    facts = pivot_table(nodes.select("node", "n", "fp", "parity"))
-    edges, label = None, None
-    for step in range(STARS + 1):
+    banded = nodes.select("node", F.explode("bands").alias("band")).repartition("band").sortWithinPartitions("band")
+    shared = durable(banded.mapInPandas(_shared, "node long, band long"))
+    rows = durable(shared.join(pivot_table(nodes.drop("bands")), "node"))
+    edges, label, stars, most = None, None, STARS, 0
+    while True:
         named = rows.withColumn("label", F.col("node")) if label is None else rows.join(label, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-        if edges is not None:  # bands within one component are done
-            named = named.join(named.groupBy("band").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("band"), "band", "left_semi")
-        named = durable(named)
-        most = named.groupBy("band").agg(F.count_distinct("label").alias("k")).agg(F.max("k")).first()[0]
-        if most is None:
-            break
-        star = most > DENSE and step < STARS
-        full = named.join(facts, "node").withColumn("at", F.xxhash64("node", F.lit(step)))
-        dealt = full.repartition("band").sortWithinPartitions("band", "at").select("band", "node", "label", "n", "fp", "near", "far", "parity")
-        new = shingles.verified(dealt.mapInPandas(_candidates(star), "a long, b long"), texts, nodes)
+        dealt = named.withColumn("at", F.xxhash64("node", F.lit(stars))).repartition("band").sortWithinPartitions("band", "at").drop("at")
+        found = durable(dealt.mapInPandas(_candidates(stars > 0), CANDIDATES).dropDuplicates(["a", "b"]))
+        new = shingles.verified(found.where("a is not null"), texts)
         edges = new if edges is None else edges.unionByName(new)
-        if not star:
-            break
-        label = durable(components(edges))
-    return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if edges is None else edges
+        if found.where("a is null").isEmpty():
+            return edges
+        label, gained = durable(components(edges)), new.count()
+        most = max(most, gained)
+        stars = stars - 1 if 100 * gained >= most else 0  # stars that join little more give way to all pairs
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -314,12 +343,13 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """
     bound_batches(docs.sparkSession)
     t = col(text)
-    texts = docs.select(col(key).alias("key"), F.xxhash64(t, F.octet_length(t)).alias("th"), t.alias("text"))
-    signed = durable(texts.select("key", "th", F.pandas_udf(_sign, SIGNED)("text").alias("s")).select("key", "th", "s.*"))
+    texts = docs.select(col(key).cast("string").alias("key"), F.xxhash64(t, F.octet_length(t)).alias("th"), t.alias("text"))
+    rows = docs.select(col(key).alias("key"), F.xxhash64(t, F.octet_length(t)).alias("th"), t.alias("text"))
+    signed = durable(rows.select("key", "th", F.pandas_udf(_sign, SIGNED)("text").alias("s")).select("key", "th", "s.*"))
     # The first of a node's rows by key stands for it; nulls come last.
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "th")).alias("row")
     nodes = durable(signed.groupBy("node").agg(first, *(F.any_value(c).alias(c) for c in ("n", "fp", "parity", "bands"))).select("node", "n", "fp", "parity", "bands", "row.key", "row.th"))
-    roots = components(similar_links(nodes, texts))
+    roots = components(similar_links(nodes.withColumn("key", F.col("key").cast("string")), texts))
     placed = nodes.select("node", "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("key").alias("component_id"))
     groups = durable(placed.join(least, "root").select("node", "root", "component_id"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tessella.llm.blocks import SMALL_BLOCK, bound_batches, release
 from tessella.llm.bpe import _Encode, vocabulary
 from tessella.llm.components import durable
-from tessella.llm.exprs import col
+from tessella.llm.exprs import col, let
 
 #: Tokens of a sequence, sequences of a shard (16 MB), and rounds of the network.
 SEQUENCE, SHARD, ROUNDS = 512, 16_384, 6
@@ -191,7 +191,9 @@ def read_shards(spark: SparkSession, folder: str, length: int = SEQUENCE, width:
     size = length * width
     files = spark.read.format("binaryFile").load(f"{folder}/shards")
     places = F.sequence(F.lit(0), (F.col("length") / (size + END)).cast("int") - 1)
-    cut = F.transform(places, lambda k: F.struct((F.col("shard").cast("long") * shard + k).alias("slot"), F.substring("content", k * (size + END) + 1, F.lit(size)).alias("payload")))
+    # The content is named once: a column that a lambda reads would be copied whole for each record.
+    record = lambda c, k: F.struct((F.col("shard").cast("long") * shard + k).alias("slot"), F.substring(c, k * (size + END) + 1, F.lit(size)).alias("payload"))
+    cut = let(F.col("content"), lambda c: F.transform(places, lambda k: record(c, k)))
     return files.select(F.explode(cut).alias("r")).select("r.*")
 
 

@@ -32,7 +32,7 @@ TERMS, LEAST_TEXTS, LEAST_GAIN, FACTORS = 8000, 3, 8.0, 8
 #: The most frequent terms whose pairs are looked at, texts that a pair must be in, the least surprise of
 #: its labels (a few chance ones among two million pairs), and pairs whose terms are taken at most.
 PAIRED, LEAST_PAIR, PAIR_GAIN, PAIRS = 2000, 10, 30.0, 2000
-EPOCHS, BATCH, RATE, DECAY = 12, 128, 0.05, 2e-4
+EPOCHS, BATCH, RATE, DECAY = 30, 128, 0.05, 2e-4
 THRESHOLD = 0.3
 SEED = 7
 

@@ -31,6 +31,21 @@ def insert_density(wanted: DataFrame, sizes: DataFrame, length: str = "len") ->
     return own.withColumn("density", F.coalesce(F.nullif("p", F.lit(0.0)), normal_pdf(F.col(length), F.col("mean"), F.col("sd")))).drop("p", "mean", "sd")
 
 
+def both_ends(left: Column, right: Column, between: Column, fragment: Column) -> Column:
+    """Start positions of a fragment that touches two segments with ``between`` positions in between, whatever its reads hit there."""
+    most = fragment - between - 1
+    fits = (fragment >= between + 2) & (fragment <= left + right + between)
+    return F.when(fits, F.least(left, most) + F.least(right, most) - most).otherwise(0)
+
+
+def both_ends_only(left: Column, right: Column, between: Column, read: Column, gap: Column) -> Column:
+    """The same where neither of its reads, with a gap between them, may hit what lies between."""
+    whole = 2 * read + gap
+    start = F.greatest(read, left + between - gap - 1)
+    stop = F.least(left, left + right + between - gap - read)
+    return F.when((whole >= between + 2) & (whole <= left + right + between), F.greatest(stop - start, F.lit(0))).otherwise(0)
+
+
 def effective_lengths(segments: list[int], implicit: set[int], fragments: np.ndarray, read: int) -> np.ndarray:
     """For each fragment length, the start positions of a fragment that touches the first and the last segment,
     where its two reads hit exactly the segments that aren't ``implicit`` (indices of segments that no read hits).

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.stats import normal_cdf
@@ -91,6 +91,29 @@ def inner_depth(junctions: DataFrame, runs: DataFrame, group: list[str], out: st
     return junctions.join(sums, [*group, "left", "right"], "left").fillna(0.0, [out])
 
 
+def inner_median(junctions: DataFrame, runs: DataFrame, group: list[str], out: str, bin_width: int = 10_000) -> DataFrame:
+    """``junctions`` with ``out``, the median depth of ``runs`` over their positions, the last of which counts as 0.
+
+    Depths are summed by value, so a junction is as many rows as it has depths, not positions.
+    """
+    from tessella.operators.joins import interval_join
+
+    spans = junctions.select(*group, "left", F.col("right").alias("stop"), (F.col("right") - 1).alias("right"))
+    pairs = interval_join(spans, runs.select(*group, "left", "right", "depth"), group, bin_width=bin_width)
+    size = F.least("right", "b_right") - F.greatest("left", "b_left") + 1
+    found = pairs.select(*group, "left", F.col("stop").alias("right"), F.col("b_depth").cast("double").alias("depth"), size.alias("n"))
+    rows = found.unionByName(junctions.select(*group, "left", "right", F.lit(0.0).alias("depth"), F.lit(0).cast("long").alias("n")))
+    by = [*group, "left", "right"]
+    summed = rows.groupBy(*by, "depth").agg(F.sum("n").alias("n"))
+    whole = F.col("right") - F.col("left") + 1
+    rest = whole - F.sum("n").over(Window.partitionBy(*by))
+    filled = summed.withColumn("n", F.col("n") + F.when(F.col("depth") == 0, rest).otherwise(0))
+    upto = F.sum("n").over(Window.partitionBy(*by).orderBy("depth").rowsBetween(Window.unboundedPreceding, 0))
+    least = lambda k: F.min(F.when(F.col("upto") > k, F.col("depth")))
+    middle = filled.withColumn("upto", upto).groupBy(*by).agg(((least(F.floor((whole - 1) / 2)) + least(F.floor(whole / 2))) / 2).alias(out))
+    return junctions.join(middle, by)
+
+
 def deep_enough(df: DataFrame, intron_depth: str, exon_depth: str, fraction: float = FRACTION) -> DataFrame:
     """Junctions whose inside isn't covered so deeply by exonic reads that they are doubtful."""
     return df.where((F.col(exon_depth) == 0) | (F.col(intron_depth) / F.col(exon_depth) >= fraction))

@@ -114,7 +114,8 @@ PLACES = """, n AS (SELECT locus, "right" + 1 AS "left", nxt - 1 AS "right", cou
 
 
 @query(RUNS + PLACES + """d AS (SELECT n.locus, n."left", n."right", n.n, coalesce(sum(v.depth * (least(v."right", n."right" - 1) - greatest(v."left", n."left") + 1)), 0) AS inner_sum FROM n LEFT JOIN v ON v.locus = n.locus AND v."left" <= n."right" - 1 AND n."left" <= v."right" GROUP BY n.locus, n."left", n."right", n.n)
-SELECT locus, "left", "right", inner_sum::DOUBLE AS inner_sum, (inner_sum = 0 OR n / ("right" - "left" + 1) * ("right" - "left") / inner_sum >= 0.01)::BOOLEAN AS deep FROM d WHERE "right" > "left\"""", EXONS)
+SELECT locus, "left", "right", inner_sum::DOUBLE AS inner_sum, (inner_sum = 0 OR n / ("right" - "left" + 1) * ("right" - "left") / inner_sum >= 0.01)::BOOLEAN AS deep FROM d WHERE "right" > "left"
+""", EXONS)
 def junction_depth(spark, sf_dir):
     """Exonic depth inside each junction but for its last position, and whether its own reads stand up to it."""
     e = exons(spark, sf_dir)
@@ -126,6 +127,18 @@ def junction_depth(spark, sf_dir):
     return depth.select("locus", "left", "right", "inner_sum").join(deep, ["locus", "left", "right"], "left").fillna(False, ["deep"])
 
 
+@query(RUNS + PLACES + """c AS (SELECT n.locus, n."left", n."right", v.depth, least(v."right", n."right" - 1) - greatest(v."left", n."left") + 1 AS k FROM n JOIN v ON v.locus = n.locus AND v."left" <= n."right" - 1 AND n."left" <= v."right"),
+z AS (SELECT locus, "left", "right", depth, k FROM c UNION ALL SELECT n.locus, n."left", n."right", 0, n."right" - n."left" + 1 - coalesce((SELECT sum(k) FROM c WHERE c.locus = n.locus AND c."left" = n."left" AND c."right" = n."right"), 0) FROM n),
+y AS (SELECT locus, "left", "right", depth, sum(k) AS k FROM z GROUP BY locus, "left", "right", depth), u AS (SELECT *, sum(k) OVER (PARTITION BY locus, "left", "right" ORDER BY depth) AS upto, "right" - "left" + 1 AS size FROM y)
+SELECT locus, "left", "right", ((min(depth) FILTER (upto > (size - 1) // 2)) + (min(depth) FILTER (upto > size // 2)))::DOUBLE / 2 AS median FROM u GROUP BY locus, "left", "right"
+""", EXONS)
+def junction_median(spark, sf_dir):
+    """The median exonic depth inside each junction."""
+    e = exons(spark, sf_dir)
+    j = ranges.introns(e, ["locus", "transcript"]).select("locus", "left", "right").distinct()
+    return introns.inner_median(j, ranges.coverage(e, ["locus"]), ["locus"], "median")
+
+
 SEGMENTS = RUNS + PLACES.replace("GROUP BY ALL)", "GROUP BY ALL HAVING count(*) >= 2)") + """
 ri AS (SELECT *, sum(CASE WHEN p IS NULL OR "left" > p + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY locus ORDER BY "left") AS k FROM (SELECT *, lag("right") OVER (PARTITION BY locus ORDER BY "left") AS p FROM v)),
 isl AS (SELECT locus, min("left") AS "left", max("right") AS "right" FROM ri GROUP BY locus, k),

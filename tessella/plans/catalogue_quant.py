@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import abundance, joins
 from tessella.plans.registry import query
-from tessella.plans.views import BLOCKS, EXONS, READS, blocks, exons, reads
+from tessella.plans.views import BLOCKS, EXONS, READS, blocks, exons, reads, table
 
 FRAGMENT, READ = 60, 10
 TRIPLES = """, x AS (SELECT transcript, "right" - "left" + 1 AS a, lead("right" - "left" + 1) OVER w AS b, lead("right" - "left" + 1, 2) OVER w AS c FROM exons WINDOW w AS (PARTITION BY transcript ORDER BY "left", "right")),
@@ -33,6 +33,17 @@ def bin_effective_length(spark, sf_dir):
     return rows.withColumn("e", effective("a", "b", "c")).select("transcript", "a", "b", "c", "e.*")
 
 
+@query("""
+WITH l AS (SELECT trunc(l_quantity)::BIGINT AS a, l_partkey % 50 + 1 AS b, l_suppkey % 30 AS m, l_orderkey % 90 + 5 AS f, l_orderkey % 17 + 1 AS r FROM lineitem), g AS (SELECT *, f - 2 * r AS gap FROM l)
+SELECT a, b, m, f, r, CASE WHEN f < m + 2 OR f > a + b + m THEN 0 ELSE least(a, f - m - 1) + least(b, f - m - 1) - (f - m - 1) END AS both_ends,
+CASE WHEN 2 * r + gap < m + 2 OR 2 * r + gap > a + b + m THEN 0 ELSE greatest(least(a, a + b + m - gap - r) - greatest(r, a + m - gap - 1), 0) END AS both_ends_only FROM g""")
+def gap_effective_length(spark, sf_dir):
+    """Closed forms of the start positions over two segments."""
+    one = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("long").alias("a"), (F.col("l_partkey") % 50 + 1).alias("b"), (F.col("l_suppkey") % 30).alias("m"), (F.col("l_orderkey") % 90 + 5).alias("f"), (F.col("l_orderkey") % 17 + 1).alias("r"))
+    a, b, m, f, r = (F.col(c) for c in "abmfr")
+    return one.select("a", "b", "m", "f", "r", abundance.both_ends(a, b, m, f).alias("both_ends"), abundance.both_ends_only(a, b, m, r, f - 2 * r).alias("both_ends_only"))
+
+
 @query("""
 , x AS (SELECT locus, transcript, "left", "right", "right" - "left" + 1 AS size, row_number() OVER w AS k, lead("right" - "left" + 1) OVER w AS next, sum("right" - "left" + 1) OVER (PARTITION BY locus, transcript) AS len FROM exons WINDOW w AS (PARTITION BY locus, transcript ORDER BY "left", "right")),
 f AS (SELECT *, fl, exp(-power((fl - 40) / 15, 2) / 2) / (15 * sqrt(2 * pi())) AS p FROM x, unnest(range(10, 131)) AS r(fl) WHERE next IS NOT NULL AND fl <= size + next AND fl <= len)

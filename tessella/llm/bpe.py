@@ -33,7 +33,9 @@ FAST_SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: Distinct pre-tokens kept with their pieces from block to block of a task; then the table is emptied.
-TABLE_WORDS = 150_000
+TABLE_WORDS = 400_000
+#: The same where ids are the result, which take memory of their own.
+SMALL_TABLE = 150_000
 
 ENCODED = "n_tokens long, ids array<int>"
 DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -202,8 +204,8 @@ def vocabulary(path: str) -> Vocabulary:
 class _Block:
     """Documents as codes of distinct words, and words as codes of distinct pre-tokens."""
 
-    def __init__(self, path: str):
-        self.vocab = vocabulary(path)
+    def __init__(self, path: str, most: int = TABLE_WORDS):
+        self.vocab, self.most = vocabulary(path), most
         self.docs: list[np.ndarray] = []
         self._clear()
 
@@ -236,7 +238,7 @@ class _Block:
 
     def done(self) -> None:
         self.docs = []
-        if len(self.words) > TABLE_WORDS:
+        if len(self.words) > self.most:
             self._clear()
 
 
@@ -313,7 +315,7 @@ class _Count(_Block):
 
 def encode_column(text: Column, path: str) -> Column:
     """struct(n_tokens, ids) of a text column."""
-    return block_udf(lambda: _Encode(path), ENCODED, SMALL_BLOCK)(text)
+    return block_udf(lambda: _Encode(path, SMALL_TABLE), ENCODED, SMALL_BLOCK)(text)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "encoded") -> DataFrame:

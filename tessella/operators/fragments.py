@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.intervals import strands_agree
 from tessella.functions.stats import normal_cdf
-from tessella.operators.joins import mate_pairs
+from tessella.operators.joins import MAX_SPAN
 
 #: A span is an outlier beyond this share of the normal distribution, of SPREAD deviations.
 OUTLIER, SPREAD = 0.999, 5
@@ -85,22 +86,26 @@ def fragments(hits: DataFrame, group: list[str]) -> DataFrame:
     """Fragments of hits (id, name, left, right, strand, mass, mate_left, features) of a group.
 
     A hit without a mate is a fragment; mates whose positions cross are one, with both masses and the
-    strand that either knows; hits whose mate isn't found, and pairs that contradict each other, go.
+    strand that either knows; of several mates of one name and place the first pair up, in order of id.
+    Hits whose mate isn't found, mates at one position or too far apart, and pairs that contradict each other, go.
     Columns: group, id, strand, mass, features, spans (of each hit).
     """
     span = (F.col("right") - F.col("left") + 1).alias("span")
     own = hits.select(*group, "id", "name", "left", "mate_left", "strand", "mass", "features", span)
     single = own.where("mate_left is null").select(*group, "id", "strand", "mass", "features", F.array("span").alias("spans"))
-    mates = own.where("mate_left is not null")
-    pairs = mate_pairs(mates, [*group, "name"])
-    other = mates.select(*group, F.col("id").alias("mate_id"), F.col("mass").alias("mate_mass"), F.col("features").alias("mate_features"), F.col("span").alias("mate_span"))
-    both = pairs.join(other, [*group, "mate_id"]).select(
+    # Mates agree on both positions, so they meet in one group of a few rows.
+    ends = [F.least("left", "mate_left").alias("__low"), F.greatest("left", "mate_left").alias("__high")]
+    mates = own.where(f"mate_left <> left and abs(mate_left - left) <= {MAX_SPAN}").select(*group, "name", *ends, (F.col("left") < F.col("mate_left")).alias("__first"), F.struct("id", "strand", "mass", "features", "span").alias("__hit"))
+    side = lambda first: F.array_sort(F.collect_list(F.when(F.col("__first") == first, F.col("__hit"))))
+    met = mates.groupBy(*group, "name", "__low", "__high").agg(side(True).alias("__a"), side(False).alias("__b"))
+    pairs = met.select(*group, F.explode(F.zip_with("__a", "__b", lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
+    both = pairs.where("p.a is not null and p.b is not null").where(strands_agree(F.col("p.a.strand"), F.col("p.b.strand"))).select(
         *group,
-        "id",
-        F.when(F.col("strand") == "?", F.col("mate_strand")).otherwise(F.col("strand")).alias("strand"),
-        (F.col("mass") + F.col("mate_mass")).alias("mass"),
-        joined_features(F.col("features"), F.col("mate_features")).alias("features"),
-        F.array("span", "mate_span").alias("spans"),
+        "p.a.id",
+        F.when(F.col("p.a.strand") == "?", F.col("p.b.strand")).otherwise(F.col("p.a.strand")).alias("strand"),
+        (F.col("p.a.mass") + F.col("p.b.mass")).alias("mass"),
+        joined_features(F.col("p.a.features"), F.col("p.b.features")).alias("features"),
+        F.array("p.a.span", "p.b.span").alias("spans"),
     )
     return single.unionByName(both.where("features is not null"))
 

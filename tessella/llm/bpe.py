@@ -16,6 +16,7 @@ import heapq
 import json
 import re
 from collections import defaultdict
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -131,8 +132,8 @@ class Vocabulary:
         ends = np.cumsum(lengths)
         symbols = self.inner[flat]
         symbols[ends - 1] = self.final[flat[ends - 1]]
-        for k, w in enumerate(words):
-            if w[0] == "<" and w in self.special:  # one symbol, which no merge has
+        for k in [k for k, w in enumerate(words) if w[0] == "<"]:
+            if (w := words[k]) in self.special:  # one symbol, which no merge has
                 symbols[ends[k] - lengths[k] : ends[k]] = -1
                 symbols[ends[k] - 1] = self.special[w]
         alive = self._merge(symbols, ends) & (symbols >= 0)
@@ -223,11 +224,12 @@ class _Block:
     def resolve(self) -> None:
         """Encode the pre-tokens not met before, each once, and put the new words together."""
         known, had = len(self.word_counts), len(self.pre)
-        parts = [list(map(self.pre.__getitem__, self.vocab.pretokens(w))) for w in list(self.words)[known:]]
-        ids, ends = self.vocab.encode_words(list(self.pre)[had:])
+        code, split = self.pre.__getitem__, self.vocab.pretokens
+        parts = [[code(w)] if w.isalpha() else list(map(code, split(w))) for w in islice(self.words, known, None)]
+        ids, ends = self.vocab.encode_words(list(islice(self.pre, had, None)))
         self.pre_counts = np.concatenate([self.pre_counts, np.diff(ends, prepend=0)])
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.fromiter((c for own in parts for c in own), np.int64, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(parts), np.int64, int(sizes.sum()))
         totals = np.concatenate([[0], np.cumsum(self.pre_counts[flat])])
         at = np.cumsum(sizes)
         self.word_counts = np.concatenate([self.word_counts, totals[at] - totals[at - sizes]])

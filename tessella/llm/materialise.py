@@ -10,6 +10,7 @@ readers and writers, so any store that Spark reaches will do, and a retried task
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -108,15 +109,19 @@ def sequences(docs: DataFrame, path: str, pad: int, doc: str = "doc_id", text: s
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         work, chars = _Cut(path, length, pad, width), 0
-        for batch in batches:
-            for key, own in zip(batch["key"], batch["text"]):
-                work.add(key, own or "")
-                chars += len(own or "") + 50
-                if chars >= SMALL_BLOCK:
-                    yield work.flush()
-                    chars = 0
-        if chars:
-            yield work.flush()
+        gc.disable()  # many small lists and no cycles: looking for those takes a twentieth of the time
+        try:
+            for batch in batches:
+                for key, own in zip(batch["key"], batch["text"]):
+                    work.add(key, own or "")
+                    chars += len(own or "") + 50
+                    if chars >= SMALL_BLOCK:
+                        yield work.flush()
+                        chars = 0
+            if chars:
+                yield work.flush()
+        finally:
+            gc.enable()
         del work
         release()
 
@@ -126,7 +131,7 @@ def sequences(docs: DataFrame, path: str, pad: int, doc: str = "doc_id", text: s
 
 
 def training_order(docs: DataFrame, path: str, pad: int, key: int = 1, doc: str = "doc_id", text: str = "text", length: int = SEQUENCE, shard: int = SHARD) -> DataFrame:
-    """A row for each sequence, dealt by shard and sorted by slot.
+    """A row for each sequence, in no order.
 
     slot, shard, place (slot's place in the shard), docs (array of the keys of the documents that it has
     tokens of, in order), n_tokens and payload: ``length`` little-endian ids of two bytes (four for a
@@ -149,10 +154,7 @@ def training_order(docs: DataFrame, path: str, pad: int, key: int = 1, doc: str
         return pd.Series(slots(numbers.to_numpy(), count, key))
 
     placed = rows.join(before, "task").select(slot(F.col("base") + F.col("number")).alias("slot"), F.col("docs").cast(f"array<{kind}>").alias("docs"), "n_tokens", "payload")
-    shards = max(1, -(-count // shard))
-    own = placed.withColumn("shard", F.floor(F.col("slot") / shard).cast("int"))
-    dealt = own.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "slot")
-    return dealt.select("slot", "shard", (F.col("slot") % shard).cast("int").alias("place"), "docs", "n_tokens", "payload")
+    return placed.select("slot", F.floor(F.col("slot") / shard).cast("int").alias("shard"), (F.col("slot") % shard).cast("int").alias("place"), "docs", "n_tokens", "payload")
 
 
 def stored(df: DataFrame) -> str:
@@ -178,12 +180,15 @@ def shared_folder(spark: SparkSession) -> str:
 def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
     """Write ``training_order``'s rows: one file of records in each folder shard=N, and the index of slots.
 
-    Returns the index: slot, shard, place, docs, n_tokens.  An existing folder is an error.
+    Sequences are dealt by shard and sorted by slot, one shard to a task.  Returns the index: slot, shard,
+    place, docs, n_tokens, in no order.  An existing folder is an error.
     """
-    records = ordered.select(F.col("payload").cast("string").alias("value"), "shard")
-    records.write.mode("errorifexists").partitionBy("shard").text(f"{folder}/shards")
     ordered.drop("payload").write.mode("errorifexists").parquet(f"{folder}/index")
-    return ordered.sparkSession.read.parquet(f"{folder}/index")
+    index = ordered.sparkSession.read.parquet(f"{folder}/index")
+    shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
+    dealt = ordered.select("shard", "slot", F.col("payload").cast("string").alias("value")).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "slot")
+    dealt.select("value", "shard").write.mode("errorifexists").partitionBy("shard").text(f"{folder}/shards")
+    return index
 
 
 def read_shards(spark: SparkSession, folder: str, length: int = SEQUENCE, width: int = 2, shard: int = SHARD) -> DataFrame:

@@ -170,9 +170,9 @@ def gtf_genes(spark, sf_dir):
 
 
 @query("""
-, k AS (SELECT DISTINCT c_custkey % 500 AS locus FROM customer)
+, k AS (SELECT DISTINCT c_custkey % 400 AS locus FROM customer)
 SELECT 'chr' || locus AS chrom, count(DISTINCT transcript) AS n_transcripts FROM exons ANTI JOIN k USING (locus) GROUP BY locus""", EXONS)
 def gtf_unknown(spark, sf_dir):
     """Transcripts on chromosomes that aren't known."""
-    known = table(spark, sf_dir, "customer").select(F.concat(F.lit("CHR"), (F.col("c_custkey") % 500).cast("string")).alias("ref")).distinct()
+    known = table(spark, sf_dir, "customer").select(F.concat(F.lit("CHR"), (F.col("c_custkey") % 400).cast("string")).alias("ref")).distinct()
     return gtf.unknown(_annotation(spark, sf_dir), known)

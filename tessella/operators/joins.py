@@ -27,6 +27,26 @@ def interval_join(a: DataFrame, b: DataFrame, on: list[str], predicate: str = "o
     return x.join(y, [*on, "__bin"]).where(match & (F.floor(F.greatest(al, bl) / bin_width) == F.col("__bin"))).drop("__bin")
 
 
+def overlap_lengths(fragments: DataFrame, exons: DataFrame, on: list[str], of: str, span: int, out: str, bin_width: int = 100) -> DataFrame:
+    """Each row of ``fragments`` with each ``of`` whose exons it touches, and ``out``, the summed length of what they share.
+
+    A fragment lies in the bin of its left end alone, and the exons of an owner that can touch it are one row of that
+    bin, so a pair is whole where it is made: pairs are neither shuffled nor grouped.  ``span`` is the length of
+    the longest fragment; a longer one is an error.
+    """
+    long = F.col("right") - F.col("left") >= span
+    x = fragments.withColumn("__bin", F.when(long, F.raise_error(F.lit(f"a fragment longer than {span}")).cast("long")).otherwise(F.floor(F.col("left") / bin_width)))
+    touched = F.sequence(F.floor((F.col("left") - (span - 1)) / bin_width), F.floor(F.col("right") / bin_width))
+    own = exons.select(*on, of, "left", "right", F.explode(touched).alias("__bin")).repartition(*on, "__bin").groupBy(*on, "__bin", of).agg(F.collect_list(F.struct("left", "right")).alias("__e"))
+    # Most have one exon in a bin, which is compared without a function of arrays.
+    y = own.select(*on, "__bin", of, F.col("__e")[0]["left"].alias("__l"), F.col("__e")[0]["right"].alias("__r"), F.when(F.size("__e") > 1, F.slice("__e", 2, F.size("__e") - 1)).alias("__more"))
+    shared = lambda left, right: F.greatest(F.lit(0), F.least(F.col("right"), right) - F.greatest(F.col("left"), left) + 1)
+    near = F.col("__more").isNotNull() | ((F.col("__l") <= F.col("right")) & (F.col("left") <= F.col("__r")))
+    more = F.when(F.col("__more").isNotNull(), F.aggregate("__more", F.lit(0).cast("long"), lambda n, e: n + shared(e["left"], e["right"]))).otherwise(F.lit(0).cast("long"))
+    pairs = y.join(x, [*on, "__bin"]).where(near).withColumn(out, shared(F.col("__l"), F.col("__r")) + more)
+    return pairs.where(F.col(out) > 0).select(*fragments.columns, of, out)
+
+
 def interval_left_join(a: DataFrame, b: DataFrame, on: list[str], key: str, **how) -> DataFrame:
     """As ``interval_join``, with the rows of ``a`` that match nothing; ``key`` is unique in ``a``."""
     pairs = interval_join(a, b, on, **how)

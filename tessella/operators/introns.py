@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.stats import normal_cdf
+from tessella.operators.whole import by_group
 
 #: Least share of reads, of a dominated junction by how it overlaps the other.
 FRACTION, NESTED, PARTIAL = 0.01, 1, 10
@@ -91,27 +94,64 @@ def inner_depth(junctions: DataFrame, runs: DataFrame, group: list[str], out: st
     return junctions.join(sums, [*group, "left", "right"], "left").fillna(0.0, [out])
 
 
-def inner_median(junctions: DataFrame, runs: DataFrame, group: list[str], out: str, bin_width: int = 10_000) -> DataFrame:
+def inner_median(junctions: DataFrame, runs: DataFrame, group: list[str], out: str) -> DataFrame:
     """``junctions`` with ``out``, the median depth of ``runs`` over their positions, the last of which counts as 0.
 
-    Depths are summed by value, so a junction is as many rows as it has depths, not positions.
+    A task works on whole groups, by ``range_medians``: junctions never meet the runs inside them as rows.
     """
-    from tessella.operators.joins import interval_join
-
-    spans = junctions.select(*group, "left", F.col("right").alias("stop"), (F.col("right") - 1).alias("right"))
-    pairs = interval_join(spans, runs.select(*group, "left", "right", "depth"), group, bin_width=bin_width)
-    size = F.least("right", "b_right") - F.greatest("left", "b_left") + 1
-    found = pairs.select(*group, "left", F.col("stop").alias("right"), F.col("b_depth").cast("double").alias("depth"), size.alias("n"))
-    rows = found.unionByName(junctions.select(*group, "left", "right", F.lit(0.0).alias("depth"), F.lit(0).cast("long").alias("n")))
+    none = F.lit(None).cast("double")
     by = [*group, "left", "right"]
-    summed = rows.groupBy(*by, "depth").agg(F.sum("n").alias("n"))
-    whole = F.col("right") - F.col("left") + 1
-    rest = whole - F.sum("n").over(Window.partitionBy(*by))
-    filled = summed.withColumn("n", F.col("n") + F.when(F.col("depth") == 0, rest).otherwise(0))
-    upto = F.sum("n").over(Window.partitionBy(*by).orderBy("depth").rowsBetween(Window.unboundedPreceding, 0))
-    least = lambda k: F.min(F.when(F.col("upto") > k, F.col("depth")))
-    middle = filled.withColumn("upto", upto).groupBy(*by).agg(((least(F.floor((whole - 1) / 2)) + least(F.floor(whole / 2))) / 2).alias(out))
-    return junctions.join(middle, by)
+    rows = junctions.select(*by, none.alias("depth")).distinct().unionByName(runs.select(*by, F.col("depth").cast("double").alias("depth")))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, own in rows.groupby(group, sort=False, dropna=False):
+            is_run = own["depth"].notna().to_numpy()
+            left, right, depth = (own[c].to_numpy() for c in ("left", "right", "depth"))
+            j = own.loc[~is_run, by]
+            found.append(j.assign(**{out: range_medians(left[~is_run], right[~is_run], left[is_run], right[is_run], depth[is_run])}))
+        return pd.concat(found, ignore_index=True)
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), f"`{out}` double"])
+    middle = rows.dropna(subset=group).repartition(*group).sortWithinPartitions(*group).mapInPandas(by_group(group, work), schema)
+    return middle if set(junctions.columns) == set(by) else junctions.join(middle, by)
+
+
+def range_medians(left: np.ndarray, right: np.ndarray, run_left: np.ndarray, run_right: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """The median depth over each range left to right, whose last position counts as 0; so do those outside of runs.
+
+    Ranges and runs, which don't overlap each other, are cut at all their ends to pieces.  A wavelet matrix over the pieces'
+    depths, with their lengths summed on each level, finds the values of all ranges at once, a bit of the value's rank at a time.
+    """
+    cuts = np.unique(np.concatenate([left, right, run_left, run_right + 1]))
+    values = np.unique(np.concatenate([depth, [0.0]]))
+    zero = int(np.searchsorted(values, 0.0))
+    rank = np.full(max(0, len(cuts) - 1), zero)
+    size = np.diff(cuts)
+    first, last = np.searchsorted(cuts, run_left), np.searchsorted(cuts, run_right + 1)
+    of = np.repeat(np.arange(len(depth)), last - first)
+    rank[np.arange(len(of)) - np.repeat(np.cumsum(last - first) - (last - first), last - first) + first[of]] = np.searchsorted(values, depth)[of]
+    whole = right - left + 1
+    a, b = (np.tile(np.searchsorted(cuts, x), 2) for x in (left, right))
+    k = np.concatenate([(whole - 1) // 2, whole // 2])  # how many positions come before the one that is looked for
+    found = np.zeros(len(k), np.int64)
+    with_zero = np.ones(len(k), bool)  # whether the last position, a zero, is still among the values
+    for level in reversed(range(int(len(values) - 1).bit_length())):
+        bit = rank >> level & 1
+        low = np.concatenate([[0], np.cumsum(1 - bit)])
+        weight = np.concatenate([[0], np.cumsum(np.where(bit == 0, size, 0))])
+        zero_bit = zero >> level & 1
+        below = weight[b] - weight[a] + (with_zero & (zero_bit == 0))
+        up = k >= below
+        k = np.where(up, k - below, k)
+        found |= up.astype(np.int64) << level
+        with_zero &= up == bool(zero_bit)
+        n_low = low[-1]
+        a, b = (np.where(up, n_low + x - low[x], low[x]) for x in (a, b))
+        order = np.argsort(bit, kind="stable")
+        rank, size = rank[order], size[order]
+    return values[found].reshape(2, -1).sum(0) / 2
 
 
 def deep_enough(df: DataFrame, intron_depth: str, exon_depth: str, fraction: float = FRACTION) -> DataFrame:

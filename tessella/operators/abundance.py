@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.stats import normal_pdf
+from tessella.operators.whole import by_group
 
 #: Weights up to this don't tell isoforms apart; EM stops when theta moves less than TOLERANCE.
 LEAST_WEIGHT, TOLERANCE, MOST_ROUNDS = 1e-5, 1e-2, 1000
@@ -129,16 +128,18 @@ def em(counts: np.ndarray, weights: np.ndarray) -> np.ndarray | None:
     return theta if told[0] else None
 
 
-def em_many(counts: np.ndarray, bin_of: np.ndarray, isoform_of: np.ndarray, weights: np.ndarray, bin_locus: np.ndarray, isoform_locus: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def em_many(counts: np.ndarray, bin_of: np.ndarray, isoform_of: np.ndarray, weights: np.ndarray, bin_locus: np.ndarray, isoform_locus: np.ndarray, copies: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Reads of each isoform of many loci at once, and whether a locus had anything to go by.
 
     Weights are given in sparse form (bin_of, isoform_of, weights), bins and isoforms by their loci.  Weights
     are scaled anew by column in every round, and the round before the one that moves a locus less than
-    ``TOLERANCE`` is returned for it.  Loci without a telling bin share their reads evenly.
+    ``TOLERANCE`` is returned for it.  Loci without a telling bin share their reads evenly.  copies: how many
+    isoforms of the same bins and weights each one stands for; theta is that of one of them.
     """
+    copies = np.ones(len(isoform_locus)) if copies is None else copies.astype(float)
     counts = np.floor(counts)
     loci = int(max(bin_locus.max(initial=-1), isoform_locus.max(initial=-1))) + 1
-    per = np.maximum(np.bincount(isoform_locus, minlength=loci), 1)
+    per = np.maximum(np.bincount(isoform_locus, copies, loci), 1)
     theta = (np.bincount(bin_locus, counts, loci) / per)[isoform_locus]
     telling = np.zeros(len(counts), bool)
     telling[bin_of[weights > LEAST_WEIGHT]] = True
@@ -153,7 +154,7 @@ def em_many(counts: np.ndarray, bin_of: np.ndarray, isoform_of: np.ndarray, weig
         if not live.all():
             b, i, f = b[live], i[live], f[live]
         share = f * theta[i]
-        total = np.bincount(b, share, len(counts))
+        total = np.bincount(b, share * copies[i], len(counts))
         empty = telling & active[bin_locus] & (total == 0)
         if empty.any():
             lost = np.zeros(loci, bool)
@@ -164,7 +165,7 @@ def em_many(counts: np.ndarray, bin_of: np.ndarray, isoform_of: np.ndarray, weig
         column = np.bincount(i, f, len(theta))
         f = np.divide(f, column[i], out=np.zeros_like(f), where=column[i] > 0)
         moving = active[isoform_locus]
-        moved = np.sqrt(np.bincount(isoform_locus, np.where(moving, new - theta, 0.0) ** 2, loci))
+        moved = np.sqrt(np.bincount(isoform_locus, copies * np.where(moving, new - theta, 0.0) ** 2, loci))
         active &= moved >= TOLERANCE
         theta = np.where(active[isoform_locus], new, theta)
     return theta, told
@@ -187,20 +188,93 @@ def em_abundance(bins: DataFrame) -> DataFrame:
         theta, _ = em_many(counts, bin_of, isoform_of, rows["weight"].to_numpy(float), of(bins_), of(isoforms))
         return pd.DataFrame({"locus": np.asarray(names)[of(isoforms)], "isoform": isoforms.get_level_values(1).astype("int64"), "theta": theta})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: list[pd.DataFrame] = []
-        for batch in batches:
-            cut = int(np.argmax(batch["locus"].to_numpy() == batch["locus"].iat[-1])) if len(batch) else 0
-            if len(batch) and (cut or (rest and rest[-1]["locus"].iat[-1] != batch["locus"].iat[-1])):
-                yield work(pd.concat([*rest, batch.iloc[:cut]], ignore_index=True))
-                rest = []
-            if len(batch):
-                rest.append(batch.iloc[cut:])
-        if rest:
-            yield work(pd.concat(rest, ignore_index=True))
-
     dealt = bins.select(F.col("locus").cast("long").alias("locus"), "bin", "n", "isoform", "weight").repartition("locus").sortWithinPartitions("locus")
-    return dealt.mapInPandas(run, "locus long, isoform long, theta double")
+    return dealt.mapInPandas(by_group(["locus"], work), "locus long, isoform long, theta double")
+
+
+def em_contained(exons: DataFrame, fragments: DataFrame) -> DataFrame:
+    """theta by locus and isoform, of the isoforms with an exon that holds a fragment; weights are 1/length.
+
+    exons: locus, isoform, left, right; fragments: locus, left, right, n.  Fragments that the same isoforms
+    hold are one bin.  Exons and fragments are dealt by locus and meet inside the task, so neither their pairs
+    nor the sets of isoforms are ever rows.
+    """
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        found = [x for g, own in rows.groupby("locus", sort=False) if (x := contained_bins(own)) is not None]
+        if not found:
+            return pd.DataFrame({"locus": [], "isoform": [], "theta": []}).astype({"locus": "int64", "isoform": "int64"})
+        locus = [own["locus"] for own in found]
+        n_bins, n_isoforms = ([len(own[c]) for own in found] for c in ("counts", "first"))
+        start = lambda n: np.cumsum([0, *n[:-1]])
+        bin_of, isoform_of = (np.concatenate([own[c] + at for own, at in zip(found, start(n))]) for c, n in (("bin_of", n_bins), ("isoform_of", n_isoforms)))
+        each = np.arange(len(found))
+        all_of = lambda c: np.concatenate([own[c] for own in found])
+        theta, _ = em_many(all_of("counts"), bin_of, isoform_of, all_of("weights"), np.repeat(each, n_bins), np.repeat(each, n_isoforms), all_of("copies"))
+        kind = np.concatenate([own["kind"] + at for own, at in zip(found, start(n_isoforms))])
+        names = [own["names"] for own in found]
+        return pd.DataFrame({"locus": np.repeat(locus, [len(x) for x in names]), "isoform": np.concatenate(names), "theta": theta[kind]})
+
+    none = F.lit(-1).cast("long")
+    both = exons.select("locus", "isoform", "left", "right", none.alias("n")).unionByName(fragments.select("locus", none.alias("isoform"), "left", "right", "n"))
+    dealt = both.dropna().select(*(F.col(c).cast("long").alias(c) for c in both.columns)).repartition("locus").sortWithinPartitions("locus")
+    return dealt.mapInPandas(by_group(["locus"], work), "locus long, isoform long, theta double")
+
+
+def contained_bins(rows: pd.DataFrame) -> dict | None:
+    """The sparse form of one locus for ``em_many``; isoforms of the same bins and length are one of several copies.
+
+    rows: isoform, left, right, and n, which is -1 for an exon.  None if no exon holds a fragment.
+    """
+    isoform, left, right, n = (rows[c].to_numpy() for c in ("isoform", "left", "right", "n"))
+    exon = n < 0
+    names, whose = np.unique(isoform[exon], return_inverse=True)
+    length = np.bincount(whose, right[exon] - left[exon] + 1, len(names))
+    order = np.argsort(left[~exon], kind="stable")
+    f_left, f_right, f_n = left[~exon][order], right[~exon][order], n[~exon][order]
+    a, b = np.searchsorted(f_left, left[exon], "left"), np.searchsorted(f_left, right[exon], "right")
+    size = np.maximum(b - a, 0)
+    at = np.repeat(np.arange(len(a)), size)
+    f = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size) + a[at]
+    held = f_right[f] <= right[exon][at]
+    pair = np.unique(f[held] * len(names) + whose[at[held]])
+    if not len(pair):
+        return None
+    f, i = pair // len(names), pair % len(names)
+    # A bin for each set of isoforms.
+    bins, counts, bin_of, isoform_of = {}, [], [], []
+    cuts = np.flatnonzero(np.diff(f)) + 1
+    for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(f)]):
+        k = bins.setdefault(i[s:e].tobytes(), len(bins))
+        if k == len(counts):
+            counts.append(0.0)
+            bin_of.append(np.full(e - s, k))
+            isoform_of.append(i[s:e])
+        counts[k] += float(f_n[f[s]])
+    bin_of, i = np.concatenate(bin_of), np.concatenate(isoform_of)
+    # One for the isoforms of the same bins and length.
+    order = np.lexsort((bin_of, i))
+    bin_of, i = bin_of[order], i[order]
+    kinds, kind, first = {}, [], []
+    cuts = np.flatnonzero(np.diff(i)) + 1
+    for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(i)]):
+        k = kinds.setdefault((length[i[s]], bin_of[s:e].tobytes()), len(kinds))
+        if k == len(first):
+            first.append((s, e))
+        kind.append(k)
+    sizes = np.array([e - s for s, e in first])
+    own = np.concatenate([np.arange(s, e) for s, e in first])
+    return {
+        "locus": rows["locus"].iat[0],
+        "names": names[np.unique(i)],
+        "kind": np.array(kind),
+        "first": first,
+        "copies": np.bincount(kind),
+        "counts": np.array(counts),
+        "bin_of": bin_of[own],
+        "isoform_of": np.repeat(np.arange(len(first)), sizes),
+        "weights": np.repeat([1.0 / length[i[s]] for s, _ in first], sizes),
+    }
 
 
 def normalise(df: DataFrame, locus: str, theta: str, length: str, least_fraction: float = 0.0, mapped: DataFrame | None = None) -> DataFrame:

@@ -83,10 +83,5 @@ def inspected_lengths(spark, sf_dir):
 @query()
 def em_abundance(spark, sf_dir):
     """EM over the sets of transcripts of a locus that hold the same reads, weighed by 1/length."""
-    e = exons(spark, sf_dir)
-    length = e.groupBy("locus", "transcript").agg(F.sum(F.col("right") - F.col("left") + 1).alias("length"))
-    pairs = joins.interval_join(e, blocks(spark, sf_dir), ["locus"], predicate="contain", bin_width=100)
-    classes = pairs.groupBy("locus", "b_left", "b_n").agg(F.array_sort(F.collect_set("transcript")).alias("set"))
-    counts = classes.groupBy("locus", "set").agg(F.sum("b_n").alias("n"))
-    rows = counts.select("locus", F.array_join("set", ",").alias("bin"), "n", F.explode("set").alias("transcript")).join(length, ["locus", "transcript"])
-    return abundance.em_abundance(rows.select("locus", "bin", "n", F.col("transcript").alias("isoform"), (1.0 / F.col("length")).alias("weight")))
+    e = exons(spark, sf_dir).withColumnRenamed("transcript", "isoform")
+    return abundance.em_contained(e, blocks(spark, sf_dir))

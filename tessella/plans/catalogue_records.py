@@ -138,7 +138,8 @@ TREE = """, t AS (SELECT locus, transcript, list(DISTINCT ["left", "right"] ORDE
 def _annotation(spark, sf_dir):
     """Annotation lines of the exons: from the last to the first, twice, with comments and lines of other types."""
     e = exons(spark, sf_dir)
-    line = F.format_string('chr%d\tx\texon\t%d\t%d\t.\t-\t.\tgene_id "g%d"; transcript_id "t%d"; gene_name "n%d";', "locus", "right", "left", "locus", "transcript", "locus")
+    text = ("chr", "locus", "\tx\texon\t", "right", "\t", "left", '\t.\t-\t.\tgene_id "g', "locus", '"; transcript_id "t', "transcript", '"; gene_name "n', "locus", '";')
+    line = F.concat(*(F.col(x).cast("string") if x in e.columns else F.lit(x) for x in text))
     own = e.select(line.alias("value"))
     noise = e.select(F.concat(F.lit("chr1\tx\tregion\t1\t9\t.\t+\t.\tID=r"), F.col("transcript").cast("string")).alias("value")).unionByName(spark.createDataFrame([("# a comment line",), ("short",), ("chr1\tx\texon\tnone\t9\t.\t+\t.\tID=q",)], "value string"))
     return gtf.parse(own.unionByName(own).unionByName(noise))

@@ -35,8 +35,10 @@ def parse(lines: DataFrame, strict: bool = False) -> DataFrame:
 
     strict: lines with a numeric score are dropped, as a reader would that gives up after the score.
     """
-    part = F.split("value", "\t")
-    rows = lines.where(~F.col("value").startswith("#") & (F.length("value") >= 10) & (F.size(part) >= 9))
+    part = F.col("__part")
+    # Split by a generator, past which no filter is pushed: a split column would be split anew wherever it is named.
+    whole = lines.where(~F.col("value").startswith("#") & (F.length("value") >= 10))
+    rows = whole.select(F.explode(F.array(F.split("value", "\t"))).alias("__part")).where(F.size(part) >= 9)
     if strict:
         rows = rows.where(F.trim(part[5]) == ".")
     start, stop, at = part[3].try_cast("long"), part[4].try_cast("long"), part[8]
@@ -58,19 +60,35 @@ def parse(lines: DataFrame, strict: bool = False) -> DataFrame:
     return out.where("kind is not null and right is not null")
 
 
+def _exons(parsed: DataFrame) -> DataFrame:
+    return parsed.where("kind = 'exon'").withColumn("transcript_id", F.coalesce("transcript_id", "parent"))
+
+
 def transcripts(parsed: DataFrame) -> DataFrame:
-    """Exons by transcript, in order and each once; GFF3 exons find transcript and gene by parent."""
+    """Exons by transcript, in order and each once; GFF3 exons find transcript and gene by parent.
+
+    Lines are dealt by transcript once, for the join and both groupings; equal ones are one before they are collected.
+    """
     owner = parsed.where("kind = 'transcript'").select(F.col("transcript_id").alias("__t"), F.coalesce("gene_id", "parent").alias("__g")).where("__t is not null").distinct()
-    exon = parsed.where("kind = 'exon'").withColumn("transcript_id", F.coalesce("transcript_id", "parent"))
+    dealt = _exons(parsed).select("chrom", "strand", "gene_id", "transcript_id", "left", "right", "gene_name").repartition("transcript_id")
+    exon = dealt.groupBy("chrom", "strand", "gene_id", "transcript_id", "left", "right").agg(F.min("gene_name").alias("gene_name"))
     named = exon.join(owner, exon["transcript_id"] == owner["__t"], "left").withColumn("gene_id", F.coalesce("gene_id", "__g"))
-    own = named.groupBy("chrom", "strand", "gene_id", "transcript_id").agg(F.array_sort(F.collect_set(F.struct("left", "right"))).alias("exons"), F.min("gene_name").alias("gene_name"))
+    own = named.groupBy("chrom", "strand", "gene_id", "transcript_id").agg(F.sort_array(F.collect_set(F.struct("left", "right"))).alias("exons"), F.min("gene_name").alias("gene_name"))
     return own
 
 
 def genes(own: DataFrame) -> DataFrame:
-    """Genes of ``transcripts``: their ends, transcripts, and exons in order, each once in the gene."""
-    every = F.array_sort(F.array_distinct(F.flatten(F.collect_list("exons"))))
-    rows = own.groupBy("chrom", "strand", "gene_id").agg(every.alias("exons"), F.array_sort(F.collect_set("transcript_id")).alias("transcripts"), F.min("gene_name").alias("gene_name"))
+    """Genes of ``transcripts``: their ends, transcripts, and exons in order, each once in the gene.
+
+    Exons and transcripts are rows that are made distinct before they are collected, as a gene's exons in one
+    array would be compared each with each.
+    """
+    gene = ["chrom", "strand", "gene_id"]
+    row = lambda left, right, t: F.struct(left.alias("left"), right.alias("right"), t.alias("t"))
+    parts = F.concat(F.transform("exons", lambda e: row(e["left"], e["right"], F.lit(None).cast("string"))), F.array(row(F.lit(None).cast("long"), F.lit(None).cast("long"), F.col("transcript_id"))))
+    each = own.select(*gene, "gene_name", F.explode(parts).alias("p")).groupBy(*gene, "p.left", "p.right", "p.t").agg(F.min("gene_name").alias("gene_name"))
+    exon = F.when(F.col("left").isNotNull(), F.struct("left", "right"))
+    rows = each.groupBy(*gene).agg(F.sort_array(F.collect_list(exon)).alias("exons"), F.sort_array(F.collect_list("t")).alias("transcripts"), F.min("gene_name").alias("gene_name"))
     return rows.withColumn("left", F.col("exons")[0]["left"]).withColumn("right", F.array_max(F.transform("exons", lambda e: e["right"])))
 
 

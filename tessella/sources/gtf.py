@@ -107,12 +107,12 @@ def read(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
 def load_annotation(parsed: DataFrame, refs: DataFrame) -> DataFrame:
     """Transcripts on known references (names match whatever their case); fails if none is known."""
     known = refs.select(F.lower("ref").alias("__low"), F.col("ref").alias("__ref"))
-    own = transcripts(parsed)
-    out = own.join(known, F.lower("chrom") == F.col("__low")).withColumn("chrom", F.col("__ref")).drop("__low", "__ref")
-    # One look at each side; names that no reference has are left out, and ``unknown`` counts them.
-    if out.isEmpty() and not own.isEmpty():
+    # The look is at lines, up to the first on a known reference, and not at transcripts, which would all be made for it.
+    # Names that no reference has are left out, and ``unknown`` counts them.
+    exon = _exons(parsed)
+    if exon.join(F.broadcast(known), F.lower("chrom") == F.col("__low"), "left_semi").isEmpty() and not exon.isEmpty():
         raise ValueError("no chromosome of the annotation is one of the alignments")
-    return out
+    return transcripts(parsed).join(known, F.lower("chrom") == F.col("__low")).withColumn("chrom", F.col("__ref")).drop("__low", "__ref")
 
 
 def lines(transcripts: DataFrame) -> DataFrame:

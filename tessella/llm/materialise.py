@@ -26,6 +26,8 @@ from tessella.llm.exprs import col, let
 
 #: Tokens of a sequence, sequences of a shard (16 MB), and rounds of the network.
 SEQUENCE, SHARD, ROUNDS = 512, 16_384, 6
+#: Packed sequences lie on disk beside the shuffle and the shards, so they are packed harder.
+PACKED_LEVEL = 6
 #: A record in a shard ends in a line feed, as Spark's writer ends it.
 END = 1
 
@@ -130,7 +132,7 @@ def sequences(docs: DataFrame, path: str, pad: int, doc: str = "doc_id", text: s
     return cut.select(F.spark_partition_id().alias("task"), "*")
 
 
-def training_order(docs: DataFrame, path: str, pad: int, key: int = 1, doc: str = "doc_id", text: str = "text", length: int = SEQUENCE, shard: int = SHARD) -> DataFrame:
+def training_order(docs: DataFrame, path: str, pad: int, key: int = 1, doc: str = "doc_id", text: str = "text", length: int = SEQUENCE, shard: int = SHARD, packed: str | None = None) -> DataFrame:
     """A row for each sequence, in no order.
 
     slot, shard, place (slot's place in the shard), docs (array of the keys of the documents that it has
@@ -139,10 +141,11 @@ def training_order(docs: DataFrame, path: str, pad: int, key: int = 1, doc: str
     empty texts have no tokens; null keys are nulls in docs; repeated rows have their tokens each; an
     empty table gives no sequence; other columns aren't looked at.  Numbers follow the input's partitions
     and the rows in them, so the same files and split size give the same order: an order by key would
-    have to shuffle all tokens a second time.
+    have to shuffle all tokens a second time.  packed: where the sequences are kept that the rows are read from, a new
+    folder that all executors share; who names it can remove it once the rows are written elsewhere.
     """
     spark, kind = docs.sparkSession, docs.select(col(doc)).schema[0].dataType.simpleString()
-    rows = spark.read.parquet(stored(sequences(docs, path, pad, doc, text, length)))
+    rows = spark.read.parquet(stored(sequences(docs, path, pad, doc, text, length), packed, PACKED_LEVEL))
     sizes = {r["task"]: r["n"] for r in rows.groupBy("task").agg(F.count("*").alias("n")).collect()}  # one number for each task of the scan
     bases, count = {}, 0
     for task in sorted(sizes):
@@ -157,10 +160,10 @@ def training_order(docs: DataFrame, path: str, pad: int, key: int = 1, doc: str
     return placed.select("slot", F.floor(F.col("slot") / shard).cast("int").alias("shard"), (F.col("slot") % shard).cast("int").alias("place"), "docs", "n_tokens", "payload")
 
 
-def stored(df: DataFrame) -> str:
-    """Write a table to a folder that all executors share; its path."""
-    folder = shared_folder(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(folder)
+def stored(df: DataFrame, folder: str | None = None, level: int = 3) -> str:
+    """Write a table to a folder that all executors share, a new one if none is named; its path.  level: how hard zstd tries."""
+    folder = folder or shared_folder(df.sparkSession)
+    df.write.options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": str(level)}).parquet(folder)
     return folder
 
 

@@ -1,6 +1,7 @@
 """Operators whose intermediate rows once grew with pairs, against plain loops."""
 
 import itertools
+import os
 
 import numpy as np
 import pytest
@@ -110,3 +111,15 @@ def test_load_annotation_looks_at_lines(spark, monkeypatch):
     with pytest.raises(ValueError):
         gtf.load_annotation(lines, spark.createDataFrame([("c2",)], "ref string"))
     assert not jobs
+
+
+def test_op8_removes_packed_sequences(spark, sf_dir, monkeypatch):
+    """Only shards and index stay once they are written, and the result is read from them."""
+    from tessella.llm import materialise, queries
+
+    folders = []
+    monkeypatch.setattr(materialise, "shared_folder", lambda s, f=materialise.shared_folder: folders.append(f(s)) or folders[-1])
+    out = queries.op8_training_order(spark, sf_dir)
+    there = [f for f in folders if os.path.exists(f.removeprefix("file:"))]
+    assert len(folders) > 1 and len(there) == 1 and sorted(os.listdir(there[0].removeprefix("file:"))) == ["index", "shards"]
+    assert sorted(r["slot"] for r in out.select("slot").collect()) == list(range(out.count()))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -192,12 +194,97 @@ def em_abundance(bins: DataFrame) -> DataFrame:
     return dealt.mapInPandas(by_group(["locus"], work), "locus long, isoform long, theta double")
 
 
+class Ranges:
+    """Sums of numbers over ranges of them, and at each number the sum of what its ranges bring.
+
+    A range is cut once, where its ends part in the binary tree over the numbers.  What is left of the cut ends a block
+    of the least power of two, and what is right of it starts one, so running sums inside such blocks are all it takes.
+    Nothing is ever subtracted: sums are as good as added one by one, and those of zeros are zero.  Ranges are taken in
+    ``order``: those that are cut first.
+    """
+
+    def __init__(self, low: np.ndarray, last: np.ndarray, size: int):
+        bits = lambda x: np.frexp(x.astype(float))[1].astype(int)
+        self.order = np.argsort(low == last, kind="stable")
+        self.n, self.cut, self.size = len(low), int(np.count_nonzero(low != last)), size
+        low, last = low[self.order], last[self.order][: self.cut]
+        right = bits(low[: self.cut] ^ last) - 1
+        right = last >> right << right
+        block = bits(np.maximum(right - low[: self.cut], last - right + 1) - 1)
+        # A row of running sums for each size of blocks and direction: even ones backwards.
+        kind = np.concatenate([2 * block, np.zeros(self.n - self.cut, int), np.where(block, 2 * block + 1, 0)])
+        self.rows, row = np.unique(kind, return_inverse=True)
+        top = int(block.max(initial=0))
+        self.width = -(-size >> top) << top
+        self.node = row * self.width + np.concatenate([low, last])
+
+    def _running(self, table: np.ndarray, turned: int) -> None:
+        for kind, row in zip(self.rows.tolist(), table):
+            if kind:
+                blocks = row.reshape(-1, 1 << kind // 2)
+                blocks = blocks if (kind + turned) % 2 else blocks[:, ::-1]
+                np.cumsum(blocks, axis=1, out=blocks)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """The sum of the values of each range."""
+        table = np.zeros((len(self.rows), self.width))
+        table[:, : self.size] = values
+        self._running(table, 0)
+        parts = table.ravel().take(self.node)
+        parts[: self.cut] += parts[self.n :]
+        return parts[: self.n]
+
+    def spread(self, brings: np.ndarray) -> np.ndarray:
+        """At each number the sum of what the ranges around it bring."""
+        table = np.bincount(self.node, np.concatenate([brings, brings[: self.cut]]), len(self.rows) * self.width).reshape(-1, self.width)
+        self._running(table, 1)
+        return table.sum(0)[: self.size]
+
+
+def em_ranges(counts: np.ndarray, low: np.ndarray, last: np.ndarray, isoform_of: np.ndarray, weights: np.ndarray, bin_locus: np.ndarray, isoform_locus: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """theta of ``em_many`` where the bins of an isoform are ranges (low to last), each bin in one at most, and all have its weight.
+
+    Weights scaled by column are then 1 / bins of the isoform after the first round, and a round takes as long as
+    there are ranges, not pairs of bin and isoform.
+    """
+    counts, copies = np.floor(counts), copies.astype(float)
+    loci, m = int(max(bin_locus.max(initial=-1), isoform_locus.max(initial=-1))) + 1, len(isoform_locus)
+    theta = (np.bincount(bin_locus, counts, loci) / np.maximum(np.bincount(isoform_locus, copies, loci), 1))[isoform_locus]
+    bins, ranges = np.arange(len(counts)), Ranges(low, last, len(counts))
+    of = isoform_of[ranges.order]
+    telling = ranges.spread((weights > LEAST_WEIGHT)[of].astype(float)) > 0
+    size = np.bincount(of, ranges.sums(telling.astype(float)), m)
+    scaled = np.divide(1.0, size, out=np.zeros(m), where=size > 0)
+    active = np.bincount(bin_locus, telling, loci) > 0
+    held, f = loci, weights
+    for _ in range(MOST_ROUNDS):
+        if not active.any():
+            break
+        if 2 * active.sum() <= held:
+            held, bins, own = active.sum(), np.flatnonzero(active[bin_locus]), active[isoform_locus[isoform_of]]
+            ranges = Ranges(np.searchsorted(bins, low[own]), np.searchsorted(bins, last[own]), len(bins))
+            of = isoform_of[own][ranges.order]
+        share = f * theta
+        total = ranges.spread((share * copies)[of])
+        known = telling[bins]
+        empty = known & (total == 0)
+        if empty.any():
+            active[bin_locus[bins[empty]]] = False
+        rate = np.divide(counts[bins], total, out=np.zeros(len(bins)), where=known & ~empty)
+        new = share * np.bincount(of, ranges.sums(rate), m)
+        f = scaled
+        moved = np.sqrt(np.bincount(isoform_locus, copies * (new - theta) ** 2, loci))
+        active &= moved >= TOLERANCE
+        theta = np.where(active[isoform_locus], new, theta)
+    return theta
+
+
 def em_contained(exons: DataFrame, fragments: DataFrame) -> DataFrame:
     """theta by locus and isoform, of the isoforms with an exon that holds a fragment; weights are 1/length.
 
     exons: locus, isoform, left, right; fragments: locus, left, right, n.  Fragments that the same isoforms
     hold are one bin.  Exons and fragments are dealt by locus and meet inside the task, so neither their pairs
-    nor the sets of isoforms are ever rows.
+    nor the sets of isoforms are ever rows; nor are pairs made there, as an exon holds ranges of sorted fragments.
     """
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
@@ -205,75 +292,112 @@ def em_contained(exons: DataFrame, fragments: DataFrame) -> DataFrame:
         if not found:
             return pd.DataFrame({"locus": [], "isoform": [], "theta": []}).astype({"locus": "int64", "isoform": "int64"})
         locus = [own["locus"] for own in found]
-        n_bins, n_isoforms = ([len(own[c]) for own in found] for c in ("counts", "first"))
+        n_bins, n_isoforms = ([len(own[c]) for own in found] for c in ("counts", "copies"))
         start = lambda n: np.cumsum([0, *n[:-1]])
-        bin_of, isoform_of = (np.concatenate([own[c] + at for own, at in zip(found, start(n))]) for c, n in (("bin_of", n_bins), ("isoform_of", n_isoforms)))
+        all_of = lambda c, n=None: np.concatenate([own[c] if n is None else own[c] + at for own, at in zip(found, start(n or n_bins))])
         each = np.arange(len(found))
-        all_of = lambda c: np.concatenate([own[c] for own in found])
-        theta, _ = em_many(all_of("counts"), bin_of, isoform_of, all_of("weights"), np.repeat(each, n_bins), np.repeat(each, n_isoforms), all_of("copies"))
-        kind = np.concatenate([own["kind"] + at for own, at in zip(found, start(n_isoforms))])
+        theta = em_ranges(all_of("counts"), all_of("low", n_bins), all_of("last", n_bins), all_of("isoform_of", n_isoforms), all_of("weights"), np.repeat(each, n_bins), np.repeat(each, n_isoforms), all_of("copies"))
         names = [own["names"] for own in found]
-        return pd.DataFrame({"locus": np.repeat(locus, [len(x) for x in names]), "isoform": np.concatenate(names), "theta": theta[kind]})
+        return pd.DataFrame({"locus": np.repeat(locus, [len(x) for x in names]), "isoform": np.concatenate(names), "theta": theta[all_of("kind", n_isoforms)]})
 
     none = F.lit(-1).cast("long")
     both = exons.select("locus", "isoform", "left", "right", none.alias("n")).unionByName(fragments.select("locus", none.alias("isoform"), "left", "right", "n"))
-    dealt = both.dropna().select(*(F.col(c).cast("long").alias(c) for c in both.columns)).repartition("locus").sortWithinPartitions("locus")
+    # A fixed number of partitions: by their bytes they would be made one for each core, though the work is many times that of reading them.
+    parts = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = both.dropna().select(*(F.col(c).cast("long").alias(c) for c in both.columns)).repartition(parts, "locus").sortWithinPartitions("locus")
     return dealt.mapInPandas(by_group(["locus"], work), "locus long, isoform long, theta double")
 
 
+def chains(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of intervals in chains, inside which neither end falls, as few as can be; and where each starts, with the end of all.
+
+    What an interval holds of a chain is one range of it.
+    """
+    order = np.lexsort((right, left))
+    ends = right[order]
+    if (np.diff(ends) >= 0).all():
+        return order, np.array([0, len(order)])
+    tops: list[int] = []
+    chain = np.empty(len(ends), int)
+    for k, x in enumerate(ends.tolist()):
+        chain[k] = at = bisect_left(tops, -x)
+        tops[at : at + 1] = [-x]
+    dealt = np.argsort(chain, kind="stable")
+    return order[dealt], np.searchsorted(chain[dealt], np.arange(len(tops) + 1))
+
+
+def merged(group: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges (high is excluded) of the same group that meet made one; in order of group and position."""
+    base = group * (int(high.max(initial=0)) + 1)
+    order = np.argsort(base + low, kind="stable")
+    group, low, high, base = group[order], low[order], high[order], base[order]
+    starts = np.flatnonzero(np.concatenate([[True], (base + low)[1:] > np.maximum.accumulate(base + high)[:-1]]))
+    return group[starts], low[starts], np.maximum.reduceat(high, starts)
+
+
+def distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct row of keys, and for each row the number of its own among these."""
+    order = np.lexsort(keys)
+    new = np.concatenate([[True], np.logical_or.reduce([(k := key[order])[1:] != k[:-1] for key in keys])])
+    of = np.empty(len(order), int)
+    of[order] = np.cumsum(new) - 1
+    return order[new], of
+
+
 def contained_bins(rows: pd.DataFrame) -> dict | None:
-    """The sparse form of one locus for ``em_many``; isoforms of the same bins and length are one of several copies.
+    """The bins of one locus for ``em_ranges``; isoforms of the same bins and length are one of several copies.
 
-    rows: isoform, left, right, and n, which is -1 for an exon.  None if no exon holds a fragment.
+    rows: isoform, left, right, and n, which is -1 for an exon.  None if no exon holds a fragment.  Sets (of the
+    isoforms around a fragment, of the bins of an isoform) are told apart by sums of two random 64-bit numbers for
+    each member, which are equal for two different sets with a chance of 2^-128.
     """
     isoform, left, right, n = (rows[c].to_numpy() for c in ("isoform", "left", "right", "n"))
     exon = n < 0
     names, whose = np.unique(isoform[exon], return_inverse=True)
     length = np.bincount(whose, right[exon] - left[exon] + 1, len(names))
-    order = np.argsort(left[~exon], kind="stable")
+    order, cuts = chains(left[~exon], right[~exon])
     f_left, f_right, f_n = left[~exon][order], right[~exon][order], n[~exon][order]
-    a, b = np.searchsorted(f_left, left[exon], "left"), np.searchsorted(f_left, right[exon], "right")
-    size = np.maximum(b - a, 0)
-    at = np.repeat(np.arange(len(a)), size)
-    f = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size) + a[at]
-    held = f_right[f] <= right[exon][at]
-    pair = np.unique(f[held] * len(names) + whose[at[held]])
-    if not len(pair):
+    found = []
+    for s, e in zip(cuts[:-1], cuts[1:]):
+        a = s + np.searchsorted(f_left[s:e], left[exon], "left")
+        b = s + np.searchsorted(f_right[s:e], right[exon], "right")
+        holds = b > a
+        found.append((whose[holds], a[holds], b[holds]))
+    i, a, b = (np.concatenate(c) for c in zip(*found))
+    if not len(i):
         return None
-    f, i = pair // len(names), pair % len(names)
-    # A bin for each set of isoforms.
-    bins, counts, bin_of, isoform_of = {}, [], [], []
-    cuts = np.flatnonzero(np.diff(f)) + 1
-    for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(f)]):
-        k = bins.setdefault(i[s:e].tobytes(), len(bins))
-        if k == len(counts):
-            counts.append(0.0)
-            bin_of.append(np.full(e - s, k))
-            isoform_of.append(i[s:e])
-        counts[k] += float(f_n[f[s]])
-    bin_of, i = np.concatenate(bin_of), np.concatenate(isoform_of)
+    i, a, b = merged(i, a, b)
+    random = lambda n: np.random.default_rng(n).integers(0, 2**64 - 1, (2, n), np.uint64, True)
+    # A bin for each set of isoforms, in place of its first fragment.
+    mark, steps, depth = random(len(names)), np.zeros((2, len(order) + 1), np.uint64), np.bincount(a, minlength=len(order) + 1) - np.bincount(b, minlength=len(order) + 1)
+    for own, step in zip(mark, steps):
+        np.add.at(step, a, own[i])
+        np.subtract.at(step, b, own[i])
+    held = np.flatnonzero(np.cumsum(depth))
+    first, of = distinct(*np.cumsum(steps, axis=1)[:, held])
+    placed = np.argsort(first)
+    heads, counts = held[first[placed]], np.bincount(of, f_n[held])[placed]
+    low, last = np.searchsorted(heads, a), np.searchsorted(heads, b) - 1
+    full = low <= last
+    i, low, last = i[full], low[full], last[full]
     # One for the isoforms of the same bins and length.
-    order = np.lexsort((bin_of, i))
-    bin_of, i = bin_of[order], i[order]
-    kinds, kind, first = {}, [], []
-    cuts = np.flatnonzero(np.diff(i)) + 1
-    for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(i)]):
-        k = kinds.setdefault((length[i[s]], bin_of[s:e].tobytes()), len(kinds))
-        if k == len(first):
-            first.append((s, e))
-        kind.append(k)
-    sizes = np.array([e - s for s, e in first])
-    own = np.concatenate([np.arange(s, e) for s, e in first])
+    own, whose = np.unique(i, return_inverse=True)
+    sums = np.zeros((2, len(own)), np.uint64)
+    for mark, step in zip(random(len(heads)), sums):
+        upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mark)])
+        np.add.at(step, whose, upto[last + 1] - upto[low])
+    first, kind = distinct(length[own], *sums)
+    shown = first[kind[whose]] == whose
     return {
         "locus": rows["locus"].iat[0],
-        "names": names[np.unique(i)],
-        "kind": np.array(kind),
-        "first": first,
+        "names": names[own],
+        "kind": kind,
         "copies": np.bincount(kind),
-        "counts": np.array(counts),
-        "bin_of": bin_of[own],
-        "isoform_of": np.repeat(np.arange(len(first)), sizes),
-        "weights": np.repeat([1.0 / length[i[s]] for s, _ in first], sizes),
+        "counts": counts,
+        "low": low[shown],
+        "last": last[shown],
+        "isoform_of": kind[whose[shown]],
+        "weights": 1.0 / length[own[first]],
     }
 
 
